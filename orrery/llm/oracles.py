@@ -36,5 +36,18 @@ WITH sized AS (
 )
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(c.taken, 0) AS BIGINT) AS taken
 FROM queued q LEFT JOIN cut c ON q.id = c.id
+""",
+    "op5_warc_bundles": """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM hashed
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM kept
 """,
 }
