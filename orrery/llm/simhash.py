@@ -2,8 +2,8 @@
 
 A fingerprint is a ring of three segments.  If two fingerprints differ in at most two bits,
 some start on the ring exists from which every chain of 1, 2, 3 consecutive segments differs
-in at most 0, 1, 2 bits: the budget grows in proportion to the chain's length.  Chains of one
-segment are found by equality, chains of two by equality after one masked bit, and the last
+in at most 0, 1, 2 bits: the budget grows in proportion to the chain's length.  Chains of two
+segments are found by equality under a mask that leaves out one bit of the second, and the last
 check is the full Hamming distance.  Every step groups by a key; no pairs within a group are
 made.  Keys shared by two fingerprints give one pair to check; fingerprints under a key shared
 by more are linked through the words one bit away from them, which two fingerprints share
@@ -25,6 +25,8 @@ from .text import shingle_hashes, words_of
 #: (first bit, width) of the ring's segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_DISTANCE = 2
+#: Rows of 16 bytes up to which a table of keys is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -50,34 +52,33 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp, start: int):
-    first, width = SEGMENTS[start]
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _chain_masks() -> list[int]:
+    """For each start on the ring and each bit p of the segment after it: the bits of the two
+    segments but p.  Equal words under such a mask are a chain of two within its budget."""
+    masks = []
+    for i, (a, wide) in enumerate(SEGMENTS):
+        b, width = SEGMENTS[(i + 1) % 3]
+        whole = ((1 << wide) - 1) << a | ((1 << width) - 1) << b
+        masks += [whole & ~(1 << p) for p in range(b, b + width)]
+    return masks
+
+
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) over a table of distinct fingerprints ``fp``: a set of links of at most two bits
     with the same components as all such links."""
     fp = F.col("fp")
-    starts = distinct.select("fp", F.posexplode(F.array(*[_segment(fp, i) for i in range(3)])).alias("start", "segment"))
-    shared = starts.groupBy("start", "segment").agg(F.count("*").alias("n")).where("n > 1").select("start", "segment")
-    one = scratch.save(starts.join(shared, ["start", "segment"], "left_semi").select("fp", "start"), "chains1")
-    masks = []
-    for i in range(3):
-        (a, wa), (b, wb) = SEGMENTS[i], SEGMENTS[(i + 1) % 3]
-        whole = ((1 << wa) - 1) << a | ((1 << wb) - 1) << b
-        masks.append(F.array(*[F.lit(_signed(whole & ~(1 << p))) for p in range(b, b + wb)]))
-    mask = F.when(F.col("start") == 0, masks[0]).when(F.col("start") == 1, masks[1]).otherwise(masks[2])
-    two = one.select("fp", "start", F.explode(mask).alias("mask")).select("fp", "start", "mask", fp.bitwiseAND(F.col("mask")).alias("key"))
-    chains = scratch.save(
-        two.groupBy("start", "mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "chains2"
-    )
+    keys = F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in _chain_masks()])).alias("mask", "key")
+    chained = distinct.select("fp", keys)
+    chains = scratch.save(chained.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "chains")
     pairs = chains.where("n = 2").select("u", "v")
-    crowded = scratch.save(two.join(chains.where("n > 2").select("start", "mask", "key"), ["start", "mask", "key"], "left_semi").select("fp").distinct(), "crowded")
+    many = chains.where("n > 2").select("mask", "key")
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    crowded = scratch.save(chained.join(many, ["mask", "key"], "left_semi").select("fp").distinct(), "crowded")
     near = F.array(fp, *[fp.bitwiseXOR(F.lit(_signed(1 << p))) for p in range(64)])
     around = crowded.select("fp", F.explode(near).alias("middle"))
     least = around.groupBy("middle").agg(F.count("*").alias("n"), F.min("fp").alias("v")).where("n > 1").select("middle", "v")
