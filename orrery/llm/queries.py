@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, linededup, lm, mixing, simhash, warc
+from . import decontaminate, langid, linededup, lm, mixing, simhash, sketch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op9_threshold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that a document contains."""
     return decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -51,6 +55,7 @@ QUERIES = {
         op4_language_id,
         op5_warc_bundles,
         op7_lm_scores,
+        op9_threshold_sketches,
         op10_decontamination,
     )
 }
