@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, linededup, lm, mixing, simhash, sketch, warc
+from . import decontaminate, langid, licenses, linededup, lm, mixing, simhash, sketch, tokencounts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,20 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that a document states."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version."""
+    return tokencounts.totals(_table(spark, sf_dir, "documents"))
+
+
 def op9_threshold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +64,9 @@ QUERIES = {
         op3_source_mix,
         op4_language_id,
         op5_warc_bundles,
+        op6_license_scan,
         op7_lm_scores,
+        op8_token_counts,
         op9_threshold_sketches,
         op10_decontamination,
     )
