@@ -43,7 +43,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...], budget: float, most:
     return levelled.select("source", "source_size", "srank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, salt: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, salt: str = "mix", keep_source: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of ``docs``.
 
     size counts words, 0 for a null text; taken counts the words that the mix takes, a second
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     inside = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     a, b = ranged.withColumn("upto", F.sum("size").over(inside)).alias("a"), parts.alias("b")
     queued = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select(
-        "a.doc_id", "a.size", "b.source_size", "b.srank", "b.target", (F.col("b.base") + F.col("a.upto")).alias("upto")
+        "a.doc_id", "a.source", "a.size", "b.source_size", "b.srank", "b.target", (F.col("b.base") + F.col("a.upto")).alias("upto")
     )
     live = (F.col("size") > 0) & (F.col("target") > 0)
     queued = scratch.save(
@@ -105,4 +105,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
             return F.when(whole, F.col("size")).when((f == last["finish"]) & (rank == last["srank"]), F.lit(words - last["before"])).otherwise(F.lit(0))
 
         taken = of("first") + of("second")
-    return queued.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queued.select("doc_id", *["source"] * keep_source, "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_in(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, all columns, with mix_size, mix_target
+    and mix_taken.  Rows of equal doc_id and source are told apart by their order of size; of
+    such rows with equal sizes each has the same number of words, in any order."""
+    same = W.partitionBy("_id", "_source", "_size").orderBy("_size")
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_JAVA)), F.lit(0)).cast("long")
+    key = {"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": size}
+    found = mix(docs, weights, budget, most, keep_source=True)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
+    a = docs.withColumns(key).withColumn("_n", F.row_number().over(same)).alias("a")
+    b = found.withColumn("_n", F.row_number().over(same)).where("mix_taken > 0").alias("b")
+    on = F.col("a._id").eqNullSafe(F.col("b._id")) & F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._size") == F.col("b._size")) & (F.col("a._n") == F.col("b._n"))
+    return a.join(b.hint("merge"), on).select(*[F.col(f"a.{c}") for c in docs.columns], F.col("a._size").alias("mix_size"), "mix_target", "mix_taken")
