@@ -161,7 +161,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = later_copies(docs, min_words)
     text = F.col("text").cast("string")
     keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_h": F.xxhash64(text)}).alias("d")
-    joined = keyed.join(kept.alias("k"), F.col("d._doc").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k.h")), "left")
+    # texts are dealt by document at every size: what stays of the lines grows with the input
+    joined = keyed.join(kept.hint("merge").alias("k"), F.col("d._doc").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k.h")), "left")
     lines = F.split(F.col("d.text").cast("string"), "\n", -1)
     n = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.length("d.text") - F.length(F.translate(F.col("d.text").cast("string"), "\n", "")) + 1)
     left = F.filter(lines, lambda x, i: F.get(F.col("k.keep"), i))
@@ -170,3 +171,14 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = F.when(F.col("k.keep").isNull(), F.lit(0)).otherwise(removed)
     columns = [cleaned.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns]
     return joined.select(*columns, F.struct(n.cast("long").alias("n"), removed.cast("long").alias("removed")).alias("_lines"))
+
+
+def remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """:func:`deduplicate` without the rows that lost lines and have no word left, with the
+    columns of ``docs``; n_chars, where there is one, follows the text."""
+    found = deduplicate(docs, min_words).where((F.col("_lines.removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    columns = dict(docs.dtypes)
+    if columns.get("n_chars") in ("int", "bigint"):
+        changed = F.col("_lines.removed") > 0
+        found = found.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(columns["n_chars"]))
+    return found.select(*docs.columns)
