@@ -1,0 +1 @@
+"""A strictly typed, versioned relational engine on Spark."""

@@ -1,0 +1 @@
+"""The engine has no streaming statements; nothing is registered here."""
