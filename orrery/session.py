@@ -67,7 +67,7 @@ def translated():
 
 class Session:
     def __init__(self, spark: SparkSession, store: Store, external: dict[str, tuple[Table, DataFrame]] | None = None):
-        self.spark, self.store, self.external = spark, store, external or {}
+        self.spark, self.store, self.external = spark, store, {} if external is None else external
         self.pending: dict[str, Table] | None = None
         self.base = 0
         for k, v in SETTINGS.items():
