@@ -19,10 +19,10 @@ def type_of(v) -> str:
 
 
 def _ranked(f: float) -> tuple:
-    """Total order of floats: -0.0 before 0.0, a positive NaN last."""
+    """Total order of floats: -0.0 before 0.0, NaN of either sign last, as in Spark."""
     if math.isnan(f):
-        return (2, 0.0, 0) if math.copysign(1, f) > 0 else (-2, 0.0, 0)
-    return (0, f, math.copysign(1, f))
+        return 2, 0.0, 0
+    return 0, f, math.copysign(1, f)
 
 
 def compare(a, b) -> int:
