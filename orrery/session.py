@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .errors import EngineError, ExecError, PlanError
 from .operators import query, write
@@ -196,6 +196,41 @@ class Session:
             return Outcome(lines=[f"gc pruned {pruned} commits, freed {freed} pages"])
         return Outcome()
 
+    def batch(self, texts: list[str], dialect: str = "native") -> list[Outcome | EngineError]:
+        """Statements under one commit; one that fails leaves nothing and doesn't stop the others.
+
+        Nobody is answered before the commit is durable.
+        """
+        self._simple(Simple("begin"))
+        out: list[Outcome | EngineError] = []
+        try:
+            for text in texts:
+                try:
+                    statement = (native if dialect == "native" else sql).parse(text)
+                    if isinstance(statement, Simple) and statement.verb in ("begin", "commit", "rollback"):
+                        raise ExecError("transaction statements cannot be part of a batch")
+                    out.append(self.run(statement))
+                except EngineError as e:
+                    out.append(e)
+            self._simple(Simple("commit"))
+        finally:
+            self.pending = None
+        return out
+
+    def verify(self) -> list[str]:
+        """What is wrong with the stored rows of the current head: repeated keys and nulls where
+        none may be; one aggregation for each table."""
+        wrong = []
+        for name, table in sorted(self.tables().items()):
+            keys = [c.name for c in table.keys]
+            fixed = [c.name for c in table.columns if not c.nullable]
+            rows = self.read(table)
+            nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fixed]).first().asDict()
+            wrong += [f"table '{name}': {n} nulls in column '{c}'" for c, n in nulls.items() if n]
+            if n := rows.groupBy(*keys).count().where("count > 1").count():
+                wrong.append(f"table '{name}': {n} repeated keys")
+        return wrong
+
     def script(self, lines: list[str], dialect: str = "native") -> list[list[str]]:
         """Each statement's lines; an error is a line too and doesn't end the script."""
         out = []
@@ -213,6 +248,7 @@ class Database:
     def __init__(self, spark: SparkSession, store: Store):
         self.session = Session(spark, store)
         self.execute, self.execute_sql, self.insert_all = self.session.execute, self.session.execute_sql, self.session.insert
+        self.execute_batch, self.verify = self.session.batch, self.session.verify
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str) -> "Database":

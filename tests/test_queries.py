@@ -34,3 +34,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["o_orderkey", "c_name", "o_totalprice"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_works_without_the_optional_subpackage():
+    import subprocess
+    import sys
+
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith("orrery.llm") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+assert e.queries() and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in e.queries())
+assert set(e.oracle_sql()) == set(e.queries())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

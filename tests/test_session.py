@@ -367,6 +367,24 @@ def test_embedded_interface(spark):
         db.execute("get nothing")
 
 
+def test_one_commit_for_a_batch(spark):
+    db = Database.in_memory(spark)
+    got = db.execute_batch(["table t { id: int @key }", "put t { id: 1 }, { id: 2 }", "put t { id: 2 }", "begin", "nonsense", "del t where id = 1", "get t"])
+    assert [str(x) if isinstance(x, EngineError) else x.render() for x in got[:3]] == [["ok"], ["put 2"], "duplicate key (2) in table 't'"]
+    assert got[5].render() == ["del 1"] and got[6].collect() == [(2,)]
+    assert db.execute("log").lines == ["commit 1 parent 0"] and not db.session.in_transaction
+
+
+def test_verify(spark):
+    db = Database.in_memory(spark)
+    db.execute("table t { id: int @key, v: int }")
+    db.execute("put t { id: 1, v: 1 }")
+    assert db.verify() == []
+    table = db.session.tables()["t"]
+    spark.createDataFrame([(1, None)], "id long, v long").write.mode("append").parquet(db.session.store.part_path(table.parts[0]))
+    assert db.verify() == ["table 't': 1 nulls in column 'v'", "table 't': 1 repeated keys"]
+
+
 def test_random_writes_against_a_dictionary(spark):
     import random
 
