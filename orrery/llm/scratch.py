@@ -34,8 +34,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Write ``df`` and return the written table.  Snappy keeps no memory outside the heap between files."""
+        df.write.mode("overwrite").option("compression", "snappy").parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

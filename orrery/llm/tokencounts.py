@@ -129,7 +129,7 @@ class Rollup:
         gone = self.ledger().join(ids, ["nn", "id"], "left_semi").withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")})
         at = f"{self.folder}/attempts/{attempt}"
         columns = ["nn", "id", *KEYS, "docs", "tokens"]
-        added.select(*columns).union(gone.select(*columns)).write.option("compression", "zstd").parquet(f"{at}/ledger")
+        added.select(*columns).union(gone.select(*columns)).write.parquet(f"{at}/ledger")
         signed = self.spark.read.schema(LEDGER).parquet(f"{at}/ledger")
         signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{at}/delta")
         path, fs = self._path("commits", batch.encode().hex())
