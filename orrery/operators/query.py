@@ -135,8 +135,8 @@ def build(get: Get, table_of: Callable[[str], Table], read: Callable[[Table], Da
         if c.type == "float":  # -0.0 is below 0.0
             by.append(F.col(name).cast("string") != "-0.0")
         order = [x.desc_nulls_last() if get.order[1] else x.asc_nulls_first() for x in by]
-    natural = [F.col(inner(t, c.name)).asc_nulls_first() for t in scope.tables for c in t.keys]
-    order += natural
+    if get.joins or access(base, get.where).kind != "KeyLookup":  # a key has one row at most
+        order += [F.col(inner(t, c.name)).asc_nulls_first() for t in scope.tables for c in t.keys]
     if get.limit is not None:
         df = (df.orderBy(*order) if order and get.limit else df).limit(get.limit)
     if get.columns is None:
