@@ -151,6 +151,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
     groups = keyed.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
+    # written first, so that the join is one of two plain exchanges, which can be split where
+    # very many pages have one payload
+    groups = Scratch(pages.sparkSession, "warc-groups").save(groups, "groups")
     joined = keyed.join(groups, "digest", "left").select(
         "page_id", "url", "payload", F.when(large & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")
     )
