@@ -113,7 +113,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     scratch.drop("unordered")
     each = lines.select("ord", F.posexplode(F.arrays_zip("ids", "words")).alias("idx", "line")).select("ord", "idx", F.col("line.ids").alias("id"), F.col("line.words").alias("w"))
-    twice = each.groupBy("id", "w").agg(F.count("*").alias("n")).where("n > 1").select("id", "w")
+    # tables that are joined with what they were summed from are written first: a join of two
+    # plain exchanges can be split where one line or interval has very many places
+    twice = scratch.save(each.groupBy("id", "w").agg(F.count("*").alias("n")).where("n > 1").select("id", "w"), "twice")
     repeated = each.join(twice, ["id", "w"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("idx", "id", "w")).alias("lines"))
     places = scratch.save(repeated.mapInArrow(_positions(min_words), "ord long, idx int, id long, w int, spans array<int>"), "places")
     spans = scratch.save(places.select("ord", "idx", F.explode("spans").alias("m")), "spans")
@@ -127,6 +129,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         named = named.join(ranks.select("ord", F.col("idx").alias("at"), F.col("r").alias("r2")), ["ord", "at"]).select("ord", "idx", "m", "r1", "r2")
         named = scratch.save(named, f"intervals{k}")
         first = named.groupBy("m", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("ord", "idx")).alias("first")).where("n > 1").drop("n")
+        first = scratch.save(first, f"first{k}")
         later = named.join(first, ["m", "r1", "r2"]).where(F.struct("ord", "idx") > F.col("first")).select("ord", "idx", "m")
         marks = later if marks is None else marks.union(later)
         if 2 * reach > longest:
