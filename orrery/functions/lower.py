@@ -8,13 +8,17 @@ that don't go together are an error of the rows in which both sides have a value
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column as SparkColumn, functions as F
 
-from ..plans.ast import Expr, Literal, Ref, Unary
-from .values import COMPARISONS, MIN_INT, type_of
+from ..errors import ExecError
+from ..plans.ast import Binary, Expr, Literal, Ref, Unary
+from .values import COMPARISONS, MIN_INT, evaluate, type_of
 
 SPARK = {"int": "bigint", "float": "double", "text": "string", "bytes": "binary", "bool": "boolean", "null": "void"}
 
@@ -25,18 +29,84 @@ class Lowered:
     type: str
     nullable: bool = True
     raises: bool = False
+    at: tuple[SparkColumn, str] | None = None  # of a timestamp shown as text: itself and its type
 
 
 def _fail(message: str, kind: str) -> SparkColumn:
     return F.raise_error(F.lit(message)).cast(SPARK[kind])
 
 
+def negative_zero(x: SparkColumn) -> SparkColumn:
+    """Whether a float is -0.0, which is below 0.0 here and equal to it in Spark.  Floats above
+    zero aren't looked at closely.  (Under an equality with 0.0 Catalyst would put 0.0 for x.)"""
+    return (x <= 0.0) & (x.cast("string") == "-0.0")
+
+
+def float_equal(x: SparkColumn, y: SparkColumn, null_safe: bool) -> SparkColumn:
+    """Equality of floats: Spark's, which scans and joins use, and that of a zero's sign."""
+    if null_safe:
+        return x.eqNullSafe(y) & negative_zero(x).eqNullSafe(negative_zero(y))
+    return (x == y) & (negative_zero(x) == negative_zero(y))
+
+
+def held_to(x: SparkColumn, kind: str, v) -> SparkColumn:
+    """Whether a column of type ``kind`` has the value ``v``, null included."""
+    if v is None:
+        return x.isNull()
+    if kind == "float" and v == 0:
+        return _is_zero(x, v)
+    return x == literal(v).column.cast(SPARK[kind])
+
+
+def _is_zero(x: SparkColumn, zero: float) -> SparkColumn:
+    """Whether a float is that zero, by bounds that are pushed into the scan."""
+    return (x >= 0.0) & (x <= 0.0) & (negative_zero(x) if math.copysign(1, zero) < 0 else ~negative_zero(x))
+
+
+def identity(columns) -> list[SparkColumn]:
+    """What tells rows apart by ``columns`` (name, type): floats with the sign of a zero."""
+    return [x for c in columns for x in (F.col(c.name), *([negative_zero(F.col(c.name)).alias(f"{c.name} is -0.0")] if c.type == "float" else []))]
+
+
+#: Shown form of timestamps, and its shortest to longest beginnings that are compared as times.
+STAMP, _STAMP_FROM = "yyyy-MM-dd HH:mm:ss.SSSSSS", "0001-01-01 00:00:00.000000"
+_STAMP_LIKE = re.compile(r"\d{4}(-\d\d(-\d\d( \d\d(:\d\d(:\d\d(\.\d{6})?)?)?)?)?)?")
+
+
+def _moment(text) -> str | None:
+    """The earliest moment whose shown form begins with ``text``, None if ``text`` isn't such a beginning."""
+    if not isinstance(text, str) or not _STAMP_LIKE.fullmatch(text):
+        return None
+    whole = text + _STAMP_FROM[len(text) :]
+    try:
+        datetime.fromisoformat(whole)
+    except ValueError:
+        return None
+    return whole
+
+
 def literal(v) -> Lowered:
     kind = type_of(v)
     column = F.lit(v) if kind == "null" else F.lit(bytearray(v) if kind == "bytes" else v).cast(SPARK[kind])
     return Lowered(column, kind, v is None)
 
 
+def _folded(e: Expr) -> Expr:
+    """A constant expression as the literal that it gives."""
+    if isinstance(e, Literal) or not _constant(e):
+        return e
+    try:
+        return Literal(evaluate(e))
+    except ExecError:
+        return e  # an error of the rows
+
+
+def _constant(e: Expr) -> bool:
+    if isinstance(e, (Literal, Ref)):
+        return isinstance(e, Literal)
+    return all(_constant(x) for x in ((e.of,) if isinstance(e, Unary) else (e.left, e.right)))
+
+
 class Lowering:
     """``resolve`` maps a column reference to its lowered column."""
 
@@ -94,6 +164,7 @@ class Lowering:
         return Lowered(column, "bool", True, a.raises or b.raises)
 
     def _comparison(self, e, plain: bool = False) -> Lowered:
+        e = Binary(e.op, _folded(e.left), _folded(e.right))
         a, b = self.value(e.left), self.value(e.right)
         raises = a.raises or b.raises
         if "null" in (a.type, b.type):
@@ -111,9 +182,10 @@ class Lowering:
         x, y = a.column, b.column
         if a.type != b.type:
             x, y = x.cast("double"), y.cast("double")
+        if (timed := self._by_time(e, a, b)) is not None:
+            return Lowered(timed, "bool", True, raises)
         if "float" in (a.type, b.type) and not self._never_zero(e.left) and not self._never_zero(e.right):
-            # -0.0 comes before 0.0; Spark holds them equal
-            x, y = (F.when(z.isNotNull(), F.struct(z, z.cast("string") != "-0.0")) for z in (x, y))
+            return Lowered(self._signed(e, x, y, plain and not (a.nullable and b.nullable)), "bool", e.op not in ("=", "!="), raises)
         if e.op == "=":
             return Lowered(x == y if plain and not (a.nullable and b.nullable) else x.eqNullSafe(y), "bool", False, raises)
         if e.op == "!=":
@@ -121,6 +193,40 @@ class Lowering:
         column = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[e.op]
         return Lowered(column, "bool", True, raises)
 
+    @staticmethod
+    def _by_time(e, a: Lowered, b: Lowered) -> SparkColumn | None:
+        """An order of shown timestamps against a constant as one of the timestamps, which is pushed into the scan."""
+        op, shown, text = (e.op, a, e.right) if a.at else ({"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(e.op), b, e.left)
+        if shown.at is None or op not in ("<", "<=", ">", ">=") or not isinstance(text, Literal) or (moment := _moment(text.value)) is None:
+            return None
+        at, then = shown.at[0], F.lit(moment).cast(shown.at[1])
+        if text.value == moment:
+            return {"<": at < then, "<=": at <= then, ">": at > then, ">=": at >= then}[op]
+        return at < then if op in ("<", "<=") else at >= then  # no shown form is as short
+
+    @staticmethod
+    def _signed(e, x: SparkColumn, y: SparkColumn, plain: bool) -> SparkColumn:
+        """Floats in their total order: Spark's order, and -0.0 below 0.0.  A first condition
+        without signs is what scans and joins use."""
+        if e.op in ("=", "!="):
+            literals = [z.value for z in (e.left, e.right) if isinstance(z, Literal)]
+            if literals:
+                other = y if isinstance(e.left, Literal) else x
+                equal = _is_zero(other, literals[0])
+                equal = equal if plain and e.op == "=" else F.coalesce(equal, F.lit(False))
+            else:
+                equal = float_equal(x, y, not plain or e.op == "!=")
+            return equal if e.op == "=" else ~equal
+        below, above, left, right = (x, y, e.left, e.right) if e.op in ("<", "<=") else (y, x, e.right, e.left)
+        sign = lambda e: math.copysign(1, e.value) < 0 if isinstance(e, Literal) else None  # noqa: E731  of a literal zero
+        lower, upper, strict = sign(left), sign(right), e.op in ("<", ">")
+        if strict and (lower is False or upper is True):
+            return below < above
+        if not strict and (lower is True or upper is False):
+            return below <= above
+        signs = negative_zero(below) & ~negative_zero(above) if strict else negative_zero(below) | ~negative_zero(above)
+        return (below <= above) & ((below < above) | signs)
+
     @staticmethod
     def _never_zero(e: Expr) -> bool:
         return isinstance(e, Literal) and e.value not in (None, 0)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import PlanError
-from ..functions.lower import Lowered, Lowering, literal
+from ..functions.lower import Lowered, Lowering, held_to, negative_zero
 from ..plans.access import access, conjuncts
 from ..plans.ast import Expr, Get, Ref
 from ..store import Table
@@ -20,6 +20,7 @@ class Scope:
 
     tables: list[Table]
     padded: set[str]
+    times: dict[str, str] = field(default_factory=dict)  # columns that hold the timestamps of shown ones, with their types
 
     def names(self) -> str:
         return " or ".join(t.name for t in self.tables)
@@ -44,7 +45,13 @@ class Scope:
 
     def lowered(self, ref: Ref) -> Lowered:
         table, c = self.find(ref)
-        return Lowered(F.col(inner(table, c.name)), c.type, c.nullable or table.name in self.padded)
+        name = inner(table, c.name)
+        at = (F.col(name + TIME), self.times[name + TIME]) if name + TIME in self.times else None
+        return Lowered(F.col(name), c.type, c.nullable or table.name in self.padded, at=at)
+
+
+#: End of the names of columns that hold a shown timestamp itself.
+TIME = "__at"
 
 
 def inner(table: Table, column: str) -> str:
@@ -84,8 +91,7 @@ def filtered(df: DataFrame, scope: Scope, table: Table, where: Expr | None) -> D
     path = access(table, where)
     lowering = Lowering(scope.lowered)
     for column, v in path.values:
-        target = F.col(inner(table, column))
-        df = df.where(target.isNull() if v is None else target == literal(v).column)
+        df = df.where(held_to(F.col(inner(table, column)), table.column(column).type, v))
     for part in [path.rest] if path.rest is not None and _any_raises(lowering, path.rest) else conjuncts(path.rest):
         df = df.where(lowering.truth(part).column)
     return df
@@ -99,8 +105,13 @@ def build(get: Get, table_of: Callable[[str], Table], read: Callable[[Table], Da
     base = table_of(get.table)
     scope = Scope([base], set())
 
+    times: dict[str, str] = {}
+
     def scan(table: Table) -> DataFrame:
-        return read(table).select(*[F.col(c.name).alias(inner(table, c.name)) for c in table.columns])
+        df = read(table)
+        hidden = {c: t for c, t in df.dtypes if c.endswith(TIME) and table.column(c) is None}
+        times.update({inner(table, c): t for c, t in hidden.items()})
+        return df.select(*[F.col(c).alias(inner(table, c)) for c in (*(c.name for c in table.columns), *hidden)])
 
     if get.joins:
         tables = [base]
@@ -114,14 +125,18 @@ def build(get: Get, table_of: Callable[[str], Table], read: Callable[[Table], Da
         df = scan(base)
         for j, right in zip(get.joins, tables[1:], strict=True):
             scope = Scope([*scope.tables, right], set(scope.padded))
-            df = df.join(scan(right), Lowering(scope.lowered).truth(j.on).column, "left" if j.left else "inner")
+            right_rows = scan(right)
+            scope.times = times
+            df = df.join(right_rows, Lowering(scope.lowered).truth(j.on).column, "left" if j.left else "inner")
             if j.left:
                 scope.padded.add(right.name)
         if get.where is not None:
             df = df.where(Lowering(scope.lowered).truth(get.where).column)
     else:
         check(scope, get.where)
-        df = filtered(scan(base), scope, base, get.where)
+        rows = scan(base)
+        scope.times = times
+        df = filtered(rows, scope, base, get.where)
     order = []
     if get.order:
         try:
@@ -133,10 +148,13 @@ def build(get: Get, table_of: Callable[[str], Table], read: Callable[[Table], Da
         name = inner(table, c.name)
         by = [F.col(name)]
         if c.type == "float":  # -0.0 is below 0.0
-            by.append(F.col(name).cast("string") != "-0.0")
+            by.append(~negative_zero(F.col(name)))
         order = [x.desc_nulls_last() if get.order[1] else x.asc_nulls_first() for x in by]
     if get.joins or access(base, get.where).kind != "KeyLookup":  # a key has one row at most
-        order += [F.col(inner(t, c.name)).asc_nulls_first() for t in scope.tables for c in t.keys]
+        for t in scope.tables:
+            for c in t.keys:
+                key = F.col(inner(t, c.name))
+                order += [key.asc_nulls_first(), *([(~negative_zero(key)).asc_nulls_first()] if c.type == "float" else [])]
     if get.limit is not None:
         df = (df.orderBy(*order) if order and get.limit else df).limit(get.limit)
     if get.columns is None:

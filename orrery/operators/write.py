@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import ExecError, PlanError
-from ..functions.lower import Lowering, fit
+from ..functions.lower import Lowering, fit, held_to, identity
 from ..functions.values import evaluate, fitting
 from ..plans import pretty
+from ..plans.access import access
 from ..plans.ast import Del, Put, Set
 from ..store import Store, Table
 from .query import Scope, check, filtered, inner
@@ -113,9 +114,11 @@ def put_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) ->
     part = _write(df.select(*columns).sortWithinPartitions(*keys), store)
     added = Table(table.name, table.columns, (part,))
     fresh = read(spark, store, added)
-    twice = fresh.groupBy(*keys).count().where("count > 1").select(*keys)
+    own = identity(table.keys)
+    twice = fresh.groupBy(*own).count().where("count > 1").select(*keys)
     if table.parts:
-        twice = twice.union(fresh.select(*keys).join(read(spark, store, table).select(*keys), keys, "left_semi"))
+        mine, theirs = fresh.select(*own), read(spark, store, table).select(*own)
+        twice = twice.union(mine.join(theirs, mine.columns, "left_semi").select(*keys))
     if (bad := twice.orderBy(*keys).first()) is not None:
         raise _duplicate(tuple(bad), table)
     return Table(table.name, table.columns, (*table.parts, part)), fresh.count()
@@ -158,15 +161,11 @@ def del_rows(spark: SparkSession, store: Store, table: Table, d: Del) -> tuple[T
 
 def _matched(spark: SparkSession, store: Store, table: Table, scope: Scope, where) -> tuple[DataFrame, int]:
     """The table's rows with _hit, and how many are hit."""
-    from ..plans.access import access
-
     df = read(spark, store, table).select(*[F.col(c.name).alias(inner(table, c.name)) for c in table.columns])
     n = filtered(df, scope, table, where).count()
     path, lowering, hit = access(table, where), Lowering(scope.lowered), F.lit(True)
-    from ..functions.lower import literal
-
     for column, v in path.values:
-        hit = hit & F.col(inner(table, column)).eqNullSafe(literal(v).column.cast(TYPES[table.column(column).type]))
+        hit = hit & F.coalesce(held_to(F.col(inner(table, column)), table.column(column).type, v), F.lit(False))
     if path.rest is not None:
         hit = F.when(hit, F.coalesce(lowering.truth(path.rest).column, F.lit(False))).otherwise(F.lit(False))
     return df.withColumn("_hit", hit), n

@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .errors import EngineError, ExecError, PlanError
+from .functions.lower import identity
 from .operators import query, write
 from .plans import native, pretty, sql
 from .plans.access import explain
@@ -151,6 +152,8 @@ class Session:
 
     def insert(self, table: str, rows: DataFrame) -> int:
         """Put all rows of a DataFrame as one statement."""
+        if not self.in_transaction:
+            self.store.reload()
         tables = dict(self.tables())
         with translated():
             tables[table], n = write.put_frame(self.spark, self.store, self._table(table, tables), rows)
@@ -201,7 +204,7 @@ class Session:
 
         Nobody is answered before the commit is durable.
         """
-        self._simple(Simple("begin"))
+        self.run(Simple("begin"))
         out: list[Outcome | EngineError] = []
         try:
             for text in texts:
@@ -222,12 +225,11 @@ class Session:
         none may be; one aggregation for each table."""
         wrong = []
         for name, table in sorted(self.tables().items()):
-            keys = [c.name for c in table.keys]
             fixed = [c.name for c in table.columns if not c.nullable]
             rows = self.read(table)
             nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fixed]).first().asDict()
             wrong += [f"table '{name}': {n} nulls in column '{c}'" for c, n in nulls.items() if n]
-            if n := rows.groupBy(*keys).count().where("count > 1").count():
+            if n := rows.groupBy(*identity(table.keys)).count().where("count > 1").count():
                 wrong.append(f"table '{name}': {n} repeated keys")
         return wrong
 
@@ -294,4 +296,9 @@ class Database:
         return self.session.store.meta["current"]
 
     def gc(self, keep: int) -> tuple[int, int]:
+        if self.session.in_transaction:
+            raise ExecError(ALONE)
         return self.session.store.gc(keep)
+
+    def stats(self) -> dict[str, int]:
+        return self.session.store.stats()

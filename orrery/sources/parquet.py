@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.lower import STAMP
+from ..operators.query import TIME
 from ..plans.ast import Column
 from ..store import Table
 
@@ -15,7 +17,6 @@ KEYS = {
 }
 #: Columns with a secondary index.
 INDEXED = {"customer": ("c_nationkey", "c_mktsegment"), "orders": ("o_custkey",), "nation": ("n_regionkey",), "events": ("event_type",), "documents": ("lang",), "labels": ("quality",)}
-STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def _typed(field: T.StructField) -> tuple[str, object] | None:
@@ -36,12 +37,14 @@ def _typed(field: T.StructField) -> tuple[str, object] | None:
 def attach(spark: SparkSession, path: str, name: str, keys: tuple[str, ...] = (), indexed: tuple[str, ...] = ()) -> tuple[Table, DataFrame]:
     """A Parquet file or folder as table ``name``; columns of other types are left out.
 
-    Filters on plain columns and the choice of columns reach the Parquet reader.
+    Filters on plain columns and the choice of columns reach the Parquet reader.  Timestamps are
+    shown as text; beside each is the timestamp itself, which comparisons with constants use.
     """
     df = spark.read.parquet(path)
     typed = [(f.name, t) for f in df.schema.fields if (t := _typed(f)) is not None]
+    times = [F.col(f.name).alias(f.name + TIME) for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     columns = tuple(Column(n, kind, nullable=n not in keys, key=n in keys, index=n in indexed) for n, (kind, _) in typed)
-    return Table(name, columns, external=path), df.select(*[c.alias(n) for n, (_, c) in typed])
+    return Table(name, columns, external=path), df.select(*[c.alias(n) for n, (_, c) in typed], *times)
 
 
 class Lazy(dict):

@@ -1,12 +1,18 @@
-"""A versioned store: immutable Parquet snapshots named by immutable commit manifests.
+"""A versioned store: immutable Parquet snapshots named by immutable numbered states.
 
-``meta.json`` has the counter of durable changes, the current branch and, for each branch, its
-head and the floor of its history; it is replaced in one step.  A commit's manifest is created
-exclusively, so of two writers that start from one state one fails.
+``states/N.json`` is the N-th durable change: the current branch, each branch's head and the
+floor of its history and, if the change is a commit, its tables.  A state is written under a
+name of its own and then linked to its number, which fails if the number is taken: that one step
+is the change.  So of two writers that start from one state exactly one succeeds, a writer that
+dies leaves either the whole change or nothing that is read, and the newest state is the store.
+
+A store's folder is mounted on every machine; rows are written to it by ``file:`` URIs, never to
+the cluster's default file system.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import os
 import re
@@ -14,6 +20,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -21,6 +28,9 @@ from .errors import PlanError, StorageError
 from .plans.ast import Column, Literal
 
 NO_COMMIT = "no such commit id (it may have been garbage collected)"
+LOST = "another writer committed while this transaction was open"
+#: Seconds after which files that no commit names are taken for left behind.
+ABANDONED_S = 3600
 
 
 def _to_json(c: Column) -> dict:
@@ -81,35 +91,74 @@ def check_table(name: str, columns: tuple[Column, ...]) -> None:
         raise PlanError(f"table '{name}' needs at least one @key column")
 
 
+def _numbers(states: Path) -> list[int]:
+    try:
+        return [int(f.name[:-5]) for f in os.scandir(states) if f.name[:-5].isdigit() and f.name.endswith(".json")]
+    except FileNotFoundError:
+        return []
+
+
+def _written(folder: Path, body: dict) -> str:
+    """A file of its own name with ``body``, on the disk."""
+    fd, name = tempfile.mkstemp(dir=folder, suffix=".new")
+    with os.fdopen(fd, "w") as f:
+        json.dump(body, f)
+        f.flush()
+        os.fsync(f.fileno())
+    return name
+
+
+def _claim(states: Path, state: dict) -> bool:
+    """Create the state's file whole, if nobody has; the one step that commits."""
+    name = _written(states, state)
+    try:
+        os.link(name, states / f"{state['txid']}.json")
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(name)
+
+
+def _replace(path: Path, body: dict) -> None:
+    os.replace(_written(path.parent, body), path)
+
+
 class Store:
     def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.meta = json.loads((self.folder / "meta.json").read_text())
+        self.folder = Path(folder).absolute()
+        self.reload()
 
     @classmethod
     def create(cls, folder: str) -> "Store":
         path = Path(folder)
-        if (path / "meta.json").exists():
+        for name in ("states", "data"):
+            (path / name).mkdir(parents=True, exist_ok=True)
+        first = {"txid": 0, "current": "main", "refs": {"main": {"head": 0, "floor": 0}}, "commit": None}
+        if _numbers(path / "states") or not _claim(path / "states", first):
             raise StorageError("the database exists already")
-        for name in ("commits", "data"):
-            (path / name).mkdir(parents=True)
-        cls._write(path, {"txid": 0, "current": "main", "refs": {"main": {"head": 0, "floor": 0}}})
         return cls(folder)
 
-    @staticmethod
-    def _write(path: Path, meta: dict) -> None:
-        fd, name = tempfile.mkstemp(dir=path)
-        with os.fdopen(fd, "w") as f:
-            json.dump(meta, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path / "meta.json")
-
-    def _save(self) -> None:
-        self._write(self.folder, self.meta)
-
     def reload(self) -> None:
-        self.meta = json.loads((self.folder / "meta.json").read_text())
+        """See the newest state."""
+        numbers = _numbers(self.folder / "states")
+        if not numbers:
+            raise StorageError(f"no database in {self.folder}")
+        state = self._state(max(numbers))
+        self.meta = {k: state[k] for k in ("txid", "current", "refs")}
+
+    def _state(self, id: int) -> dict:
+        try:
+            return json.loads((self.folder / "states" / f"{id}.json").read_text())
+        except FileNotFoundError:
+            return {"commit": None}
+
+    def _advance(self, meta: dict, commit: dict | None = None) -> bool:
+        """Make ``meta`` the next state; False if another writer made one first."""
+        made = _claim(self.folder / "states", meta | {"commit": commit})
+        if made:
+            self.meta = meta
+        return made
 
     # commits
 
@@ -124,12 +173,11 @@ class Store:
     def commit(self, id: int) -> Commit:
         if id == 0:
             return Commit(0, 0, 0)
-        path = self.folder / "commits" / f"{id}.json"
-        if not path.exists():
+        d = self._state(id)["commit"]
+        if d is None:
             raise StorageError(NO_COMMIT)
-        d = json.loads(path.read_text())
         tables = {n: Table(n, tuple(map(_of_json, t["columns"])), tuple(t["parts"])) for n, t in d["tables"].items()}
-        return Commit(d["id"], d["parent"], d["ts_ms"], tables)
+        return Commit(id, d["parent"], d["ts_ms"], tables)
 
     def at_time(self, ms: int) -> Commit:
         """The newest commit of the current branch that is no later."""
@@ -141,7 +189,9 @@ class Store:
         return self.commit(0)
 
     def history(self, name: str | None = None):
-        ref = self.meta["refs"][name or self.meta["current"]]
+        yield from self._from(self.meta["refs"][name or self.meta["current"]])
+
+    def _from(self, ref: dict):
         at = ref["head"]
         while at:
             c = self.commit(at)
@@ -153,100 +203,135 @@ class Store:
     def publish(self, base: int, tables: dict[str, Table]) -> int:
         """A new commit on the current branch, if nothing durable happened since ``base``."""
         self.reload()
-        if self.meta["txid"] != base:
-            raise StorageError("another writer committed while this transaction was open")
+        meta = copy.deepcopy(self.meta)
         id = base + 1
-        body = {"id": id, "parent": self.head, "ts_ms": time.time_ns() // 1_000_000, "tables": {n: {"columns": [_to_json(c) for c in t.columns], "parts": list(t.parts)} for n, t in tables.items()}}
-        path = self.folder / "commits" / f"{id}.json"
-        leftover = path.exists() and id not in self._reachable()
-        try:
-            with open(path, "w" if leftover else "x") as f:
-                json.dump(body, f)
-                f.flush()
-                os.fsync(f.fileno())
-        except FileExistsError:
-            raise StorageError("another writer committed while this transaction was open") from None
-        self.meta["txid"] = id
-        self.branch["head"] = id
-        self._save()
+        commit = {"parent": self.head, "ts_ms": time.time_ns() // 1_000_000, "tables": {n: {"columns": [_to_json(c) for c in t.columns], "parts": list(t.parts)} for n, t in tables.items()}}
+        meta["txid"] = meta["refs"][meta["current"]]["head"] = id
+        if self.meta["txid"] != base or not self._advance(meta, commit):
+            raise StorageError(LOST)
         return id
 
-    def _reachable(self) -> set[int]:
-        return {c.id for name in self.meta["refs"] for c in self.history(name)}
-
     def new_part(self) -> tuple[str, str]:
-        """A name for rows to be written, and the path to write them to."""
-        name = uuid.uuid4().hex
-        return name, str(self.folder / "data" / name)
+        """A name for rows to be written, and the URI to write them to."""
+        name = f"{self.meta['txid']}-{uuid.uuid4().hex}"
+        return name, self.part_path(name)
 
     def part_path(self, name: str) -> str:
-        return str(self.folder / "data" / name)
+        return (self.folder / "data" / name).as_uri()
 
     # branches
 
-    def _change(self) -> None:
-        self.meta["txid"] += 1
-        self._save()
+    def _change(self, change: Callable[[dict], object]) -> object:
+        """Apply ``change`` to the newest state, again if another writer was faster."""
+        while True:
+            self.reload()
+            meta = copy.deepcopy(self.meta)
+            out = change(meta)
+            meta["txid"] += 1
+            if self._advance(meta):
+                return out
 
     def create_branch(self, name: str, at: int | None) -> None:
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}", name):
             raise StorageError("branch names are 1 to 64 ascii letters, digits, '_' or '-', starting alphanumeric")
-        if name in self.meta["refs"]:
-            raise StorageError("a branch with this name already exists")
-        head = self.head if at is None else at
-        self.commit(head)
-        self.meta["refs"][name] = {"head": head, "floor": self.branch["floor"] if head else 0}
-        self._change()
-
-    def _known(self, name: str) -> dict:
-        if name not in self.meta["refs"]:
+
+        def change(meta: dict) -> None:
+            if name in meta["refs"]:
+                raise StorageError("a branch with this name already exists")
+            own = meta["refs"][meta["current"]]
+            head = own["head"] if at is None else at
+            self.commit(head)
+            meta["refs"][name] = {"head": head, "floor": own["floor"] if head else 0}
+
+        self._change(change)
+
+    @staticmethod
+    def _known(meta: dict, name: str) -> dict:
+        if name not in meta["refs"]:
             raise StorageError("no branch with this name")
-        return self.meta["refs"][name]
+        return meta["refs"][name]
 
     def switch(self, name: str) -> None:
-        self._known(name)
-        self.meta["current"] = name
-        self._change()
+        def change(meta: dict) -> None:
+            self._known(meta, name)
+            meta["current"] = name
+
+        self._change(change)
 
     def drop_branch(self, name: str) -> None:
-        if name == self.meta["current"]:
-            raise StorageError("cannot drop the current branch")
-        self._known(name)
-        del self.meta["refs"][name]
-        self._change()
+        def change(meta: dict) -> None:
+            if name == meta["current"]:
+                raise StorageError("cannot drop the current branch")
+            self._known(meta, name)
+            del meta["refs"][name]
+
+        self._change(change)
 
     def merge(self, name: str) -> int:
         """Move the current branch forward to ``name``'s head."""
+        self.reload()
         if name == self.meta["current"]:
             raise StorageError("cannot merge a branch into itself")
-        other = self._known(name)
-        if other["head"] == self.head:
+        if self._known(self.meta, name)["head"] == self.head:
             return self.head
-        if self.head and self.head not in {c.id for c in self.history(name)}:
-            raise StorageError("branches have diverged; only fast-forward merges are supported for now")
-        self.branch["head"] = other["head"]
-        self._change()
-        return self.head
+
+        def change(meta: dict) -> int:
+            own, other = meta["refs"][meta["current"]], self._known(meta, name)
+            if own["head"] and own["head"] not in {c.id for c in self._from(other)}:
+                raise StorageError("branches have diverged; only fast-forward merges are supported for now")
+            own["head"] = other["head"]
+            return own["head"]
+
+        return self._change(change)
 
     def gc(self, keep: int) -> tuple[int, int]:
         """Keep the newest ``keep`` commits of each branch; commits pruned, once for each branch
-        that reached them, and files freed."""
+        that reached them, and files freed.
+
+        Rows of pruned commits go at once.  Rows that no commit names may be those of a writer
+        that hasn't committed yet and go when they are ``ABANDONED_S`` old.
+        """
         if keep < 1:
             raise StorageError("gc must retain at least one commit per branch")
-        before, pruned = self._reachable(), 0
-        for name, ref in self.meta["refs"].items():
-            ids = [c.id for c in self.history(name)]
-            if len(ids) > keep:
-                ref["floor"] = ids[keep - 1]
-                pruned += len(ids) - keep
-        kept = self._reachable()
-        parts = {p for id in kept for t in self.commit(id).tables.values() for p in t.parts}
-        self._change()
-        for id in before - kept:
-            (self.folder / "commits" / f"{id}.json").unlink(missing_ok=True)
-        freed = 0
+
+        def change(meta: dict) -> tuple[int, set[int], set[int]]:
+            before, kept, pruned = set(), set(), 0
+            for ref in meta["refs"].values():
+                ids = [c.id for c in self._from(ref)]
+                before |= set(ids)
+                if len(ids) > keep:
+                    ref["floor"] = ids[keep - 1]
+                    pruned += len(ids) - keep
+                kept |= set(ids[:keep])
+            return pruned, before - kept, kept
+
+        pruned, gone, kept = self._change(change)
+        named = lambda ids: {p for id in ids for t in self.commit(id).tables.values() for p in t.parts}
+        live, now, freed = named(kept), time.time(), 0
+        dead = named(gone) - live
+        states = self.folder / "states"
+        for id in _numbers(states):
+            if id in kept or id >= self.meta["txid"]:
+                continue
+            path = states / f"{id}.json"
+            if self._state(id)["commit"] is None and now - path.stat().st_mtime > ABANDONED_S:
+                path.unlink(missing_ok=True)
+            elif id in gone:  # the number stays taken for writers that saw an older state
+                _replace(path, {"commit": None})
         for path in (self.folder / "data").iterdir():
-            if path.name not in parts:
+            if path.name in dead or path.name not in live and now - path.stat().st_mtime > ABANDONED_S:
                 freed += sum(len(files) for _, _, files in os.walk(path))
                 shutil.rmtree(path, ignore_errors=True)
         return pruned, freed
+
+    def stats(self) -> dict[str, int]:
+        """Numbers and bytes of files: of all rows, of those that the current head names, and
+        of those that no retained commit names."""
+        sizes = {p.name: [f.stat().st_size for f in p.rglob("*") if f.is_file()] for p in (self.folder / "data").iterdir()}
+        commits = {c.id: c for ref in self.meta["refs"].values() for c in self._from(ref)}
+        parts = lambda cs: {p for c in cs for t in c.tables.values() for p in t.parts}
+        head, live = parts([self.commit(self.head)]), parts(commits.values())
+        out = {"commits": len(commits), "branches": len(self.meta["refs"])}
+        for name, chosen in (("all", set(sizes)), ("head", head), ("free", set(sizes) - live)):
+            out |= {f"{name}_files": sum(len(sizes.get(p, ())) for p in chosen), f"{name}_bytes": sum(sum(sizes.get(p, ())) for p in chosen)}
+        return out
