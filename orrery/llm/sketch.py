@@ -2,8 +2,10 @@
 
 A sketch keeps every shingle hash that lies in the lowest ``FRACTION`` of the 64-bit range, so its
 size follows the document's, sketches merge by union, and shares of common hashes estimate
-containment between documents of very unequal length.  A text with words but no hash that low
-keeps its lowest one, which a union drops as soon as a hash below the threshold is there.
+containment between documents of very unequal length.  The fraction is the same for every text:
+a text of m distinct shingles keeps none with probability (1 - FRACTION)^m, and an estimate of
+containment c from a smaller text of m shingles has a standard error of
+sqrt(c (1 - c) / (m FRACTION)).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from .text import WORD_JAVA
 
 SHINGLE = 5
 #: One in so many hashes is kept.
-ONE_IN = 16
+ONE_IN = 4
 _THRESHOLD = -(1 << 63) + (1 << 64) // ONE_IN
 
 
@@ -28,16 +30,13 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     w = F.col("_w")
     runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
     shingled = hashed.select(*others, F.explode(F.array(F.slice(runs, 1, F.when(F.size(w) == 0, 0).otherwise(F.greatest(F.lit(1), F.size(w) - (SHINGLE - 1)))))).alias("_s"))
-    low = F.filter("_s", lambda h: h < F.lit(_THRESHOLD))
-    kept = F.when(F.size(low) > 0, low).when(F.size("_s") > 0, F.array(F.array_min("_s"))).otherwise(low)
+    kept = F.filter("_s", lambda h: h < F.lit(_THRESHOLD))
     return shingled.select(*others, F.array_sort(F.array_distinct(kept)).alias(name))
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < F.lit(_THRESHOLD))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return F.array_sort(F.array_union(a, b))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -73,8 +72,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     all, of the next document's, in ascending doc_id; after the last comes the first.  A null
     text is empty; a null doc_id comes before all others.  Rows of one doc_id are one place in
     that order: the next document of each is that of the next id, and of several texts under the
-    next id the one of the lowest XXH64.  Repeated rows get equal rows.  Texts without words have
-    the empty fingerprint.  An empty table gives an empty table.  Other columns are not read.
+    next id the one of the lowest XXH64.  Repeated rows get equal rows.  Texts without words, and
+    those of few words of which no hash is kept, have the empty fingerprint.  An empty table gives an empty table.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sketch")
@@ -88,22 +87,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # the same exchange of the texts by id serves both joins: h is compared without an equality
     same_h = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
     lent = rows.join(chain.select(F.col("nn").alias("of_nn"), F.col("id").alias("of_id"), "most", F.col("to_nn").alias("nn"), F.col("to_id").alias("id"), "to_h"), ["nn", "id"]).where(same_h("h", "to_h"))
-    lent = lent.select(F.col("of_nn").alias("nn"), F.col("of_id").alias("id"), F.substring("text", F.lit(1), F.floor(F.col("most") / 2).cast("int")).alias("head"))
+    head = F.substring("text", F.lit(1), F.floor(F.col("most") / 2).cast("int")).alias("head")
+    lent = with_sketch(lent.select(F.col("of_nn").alias("nn"), F.col("of_id").alias("id"), head, "text"), "text", "next")
     if repeated:
         lent = lent.dropDuplicates(["nn", "id"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("head", F.lit(1), half))
-    pairs = rows.join(lent, ["nn", "id"]).withColumn("n_chars", F.char_length("text").cast("long")).select("nn", "id", "h", "n_chars", "text", edited.alias("edited"))
+    pairs = rows.join(lent, ["nn", "id"]).withColumn("n_chars", F.char_length("text").cast("long")).select("nn", "id", "n_chars", "next", "text", edited.alias("edited"))
     pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    found = scratch.save(with_sketch(with_sketch(pairs, "text", "own"), "edited", "changed"), "sketches")
-
-    following = chain.select("nn", "id", "to_nn", "to_id", "to_h")
-    theirs = found.select(F.col("nn").alias("to_nn"), F.col("id").alias("to_id"), F.col("h").alias("its_h"), F.col("own").alias("next"))
-    theirs = following.join(theirs, ["to_nn", "to_id"]).where(same_h("to_h", "its_h")).select("nn", "id", "next")
-    if repeated:
-        theirs = theirs.dropDuplicates(["nn", "id"])
+    found = with_sketch(with_sketch(pairs, "text", "own"), "edited", "changed")
     own, changed = F.col("own"), F.col("changed")
-    return found.join(theirs, ["nn", "id"]).select(
+    return found.select(
         F.when(F.col("nn"), F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
