@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
-from .text import mixed
-from .vectors import _LOWER, word_hashes
+from .vectors import _LOWER, Table, word_hashes
 
 DEPTH = 5
 #: Keys that are looked up at once, of each kind.
@@ -211,39 +210,6 @@ def model(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(deep.where("key is not null").mapInArrow(run, "key long, logp double"), "model")
 
 
-class Table:
-    """Open addressing from 64-bit keys to values."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slots = np.full(1 << bits, -1, np.int32)
-        self.keys, self.values = np.ascontiguousarray(keys, np.uint64), values
-        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
-        while len(left):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = left[free]
-            lost = self.slots[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 if it isn't there."""
-        out = np.full(len(keys), -1, np.int32)
-        if not len(self.keys):
-            return out
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            at = self.slots[slot]
-            hit = (at >= 0) & (self.keys[at] == keys[left])
-            out[left[hit]] = at[hit]
-            go = (at >= 0) & ~hit
-            left, slot = left[go], (slot[go] + 1) & self.mask
-        return out
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text, modulo 10, is 0; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))

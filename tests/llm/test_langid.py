@@ -50,3 +50,64 @@ def test_kept_rows_have_all_columns(spark):
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
     assert {900, 901} & {r.doc_id for r in kept.collect()} == set() and kept.count() >= 115
+
+
+def test_every_language_and_letter_is_learned(spark):
+    """More languages than once fitted, four of them rare, and scripts of very many letters."""
+    rng, rows = random.Random(5), []
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40))
+
+    alphabets = {f"l{n:03}": [chr(0x61 + rng.randrange(26)) + chr(0x61 + rng.randrange(26)) for _ in range(12)] for n in range(100)}
+    alphabets |= {f"rare{n}": [chr(0x400 + 48 + rng.randrange(32)) + chr(0x400 + 48 + rng.randrange(32)) for _ in range(12)] for n in range(4)}
+    ideographs = {f"han{n}": [chr(0x4E00 + 400 * n + i) for i in range(400)] for n in range(4)}
+    for name, letters in (alphabets | ideographs).items():
+        for _ in range(12 if name.startswith("rare") else 30):
+            rows.append((len(rows), text(letters), name, "s", 1))
+    found = {r.doc_id: r for r in langid.identify(documents(spark, rows)).collect()}
+    for kind in ("l", "rare", "han"):
+        out = [found[r[0]].lang_pred == r[2] for r in rows if found[r[0]].held_out and r[2].startswith(kind)]
+        assert sum(out) >= 0.95 * len(out) > 5, (kind, sum(out), len(out))
+
+
+def test_against_plain_kernel_regression():
+    """The model's values against kernels of sets, worked out one by one."""
+    import unicodedata
+
+    import numpy as np
+
+    rng = random.Random(3)
+    letters = langid._letters()
+    rows = [(t, g) for _, t, g, *_ in rows_of(60, 9)] + [("日本 " * 3 + "漢字かな", "ja"), ("日本語の文 漢字", "ja"), ("한국어 말", "ko")]
+    ranks = [sum(x[1] == g for x in rows[:i]) + 1 for i, (_, g) in enumerate(rows)]
+    packed = [langid._distinct_ngrams(letters, t) for t, _ in rows]
+
+    def grams(text):
+        s = "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in text)
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    old = langid.LANDMARKS, langid.OF_EACH
+    langid.LANDMARKS, langid.OF_EACH = 12, 3
+    try:
+        models = [langid.fit([g for _, g in rows], ranks, packed, letters, m) for m in (langid.MULTIPLIED, 0)]
+    finally:
+        langid.LANDMARKS, langid.OF_EACH = old
+    assert models[0].weights is not None and models[1].weights is None
+    chosen = sorted(sorted(range(len(rows)), key=lambda i: (ranks[i], rows[i][1]))[:15])
+    vocabulary = set().union(*(grams(rows[i][0]) for i in chosen))
+    sets = [grams(t) & vocabulary for t, _ in rows]
+    k = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    kxz = np.array([[k(a, sets[i]) for i in chosen] for a in sets])
+    values, vectors = np.linalg.eigh(kxz[chosen])
+    half = vectors * (1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
+    phi = kxz @ half
+    names = sorted({g for _, g in rows})
+    y = np.array([[1.0 if g == n else -1.0 for n in names] for _, g in rows])
+    coef = half @ np.linalg.solve(phi.T @ phi + langid.RIDGE * np.eye(len(half)), phi.T @ y)
+    for text in [rng.choice(rows)[0] for _ in range(10)] + ["der eau 日本 xyz", "Ünïcode ß 漢"]:
+        want = np.array([k(grams(text) & vocabulary, sets[i]) for i in chosen]) @ coef
+        for model in models:
+            assert np.allclose(model.margins(model.presence(text)[None, :])[0], want, atol=2e-4)
