@@ -1,14 +1,18 @@
 """License scans by patience alignment.
 
-A template is sought in windows of a text that are twice its length and overlap by half, so
-every occurrence lies inside one.  In a window the words that occur once in it and once in the
-template are anchors; the longest increasing subsequence of the anchors' places is kept, and the
-gaps between kept anchors are aligned in the same way.  A gap without anchors is aligned from
-its ends, word by word.  Coverage is the share of the template's words that are aligned.
+A place of a template of n words is sought from every word of a text that is one of the
+template's first words, those of which one must be aligned first if enough are aligned: the 2n
+words from there are aligned with the template.  In such a window the words that occur once in
+it and once in the template are anchors; the longest increasing subsequence of the anchors'
+places is kept, and the gaps between kept anchors are aligned in the same way.  A gap without
+anchors is aligned from its ends, word by word.  Coverage is the share of the template's words
+that are aligned.  Of overlapping places of a template the one of the best coverage stays, then
+the shortest, then the first.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -18,28 +22,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Short forms by which texts state their license.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "all-rights-reserved": "All rights reserved.",
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met"
-    ),
-    "MIT-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-    "Apache-2.0-notice": (
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
-        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-}
+from .license_texts import TEMPLATES
+
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -91,6 +75,21 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def needed(n: int, coverage: float) -> int:
+    """Words of a template of ``n`` that must be aligned."""
+    return max(1, math.ceil(coverage * n - 1e-9))
+
+
+def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of places (aligned words, first, last) those that stay, in the order of the text."""
+    out = []
+    for place in sorted(set(places), key=lambda p: (-p[0], p[2] - p[1], p[1])):
+        at = bisect_left(out, place[1], key=lambda p: p[1])
+        if (at == 0 or out[at - 1][2] < place[1]) and (at == len(out) or out[at][1] > place[2]):
+            out.insert(at, place)
+    return out
+
+
 @dataclass
 class Scanner:
     templates: dict[str, str]
@@ -99,44 +98,46 @@ class Scanner:
 
     def __post_init__(self):
         for name, text in sorted(self.templates.items()):
-            words = tokens(text)
-            if words:
-                self.parts.append((name, words, Counter(words)))
+            if words := tokens(text):
+                least = needed(len(words), self.coverage)
+                self.parts.append((name, words, Counter(words), least, set(words[: len(words) - least + 1])))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, str]]:
-        """(license, coverage, first word, words, span) of each template's best covered place."""
+        """(license, coverage, first word, words, span) of each template's places."""
         if not text:
             return []
         lowered = text.lower()
         spans = [m.span() for m in _WORD.finditer(lowered)]
         words = [lowered[a:b] for a, b in spans]
         have, out = set(words), []
-        for name, template, counts in self.parts:
-            n = len(template)
-            if sum(c for w, c in counts.items() if w in have) < self.coverage * n:
+        source = text if len(lowered) == len(text) else lowered
+        for name, template, counts, least, first in self.parts:
+            if sum(c for w, c in counts.items() if w in have) < least:
                 continue  # no place can be covered enough
-            places = [i for i, w in enumerate(words) if w in counts]
-            starts = sorted({s for i in places for s in (i // n * n - n, i // n * n) if s >= 0})
-            best = None
-            for at in starts:
-                window = words[at : at + 2 * n]
-                inside = Counter(window)
-                if sum(min(c, inside[w]) for w, c in counts.items()) < self.coverage * n:
-                    continue
-                matched = align(window, template)
-                share = len(matched) / n
-                if share >= self.coverage and (best is None or share > best[0]):
-                    best = (share, at + matched[0][0], at + matched[-1][0])
-            if best:
-                share, first, end = best
-                out.append((name, share, first, end - first + 1, text[spans[first][0] : spans[end][1]] if len(lowered) == len(text) else lowered[spans[first][0] : spans[end][1]]))
+            n = len(template)
+            inside, common, end, begun, places = Counter(), 0, 0, 0, []
+            for at in (i for i, w in enumerate(words) if w in first):
+                # the words of the template among those of the window, kept up from window to window
+                while end < min(len(words), at + 2 * n):
+                    if (w := words[end]) in counts:
+                        inside[w] += 1
+                        common += inside[w] <= counts[w]
+                    end += 1
+                while begun < at:
+                    if (w := words[begun]) in counts:
+                        common -= inside[w] <= counts[w]
+                        inside[w] -= 1
+                    begun += 1
+                if common >= least and len(matched := align(words[at : at + 2 * n], template)) >= least:
+                    places.append((len(matched), at + matched[0][0], at + matched[-1][0]))
+            out += [(name, k / n, a, b - a + 1, source[spans[a][0] : spans[b][1]]) for k, a, b in apart(places)]
         return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, n_words, span): a row for each row of ``docs``
-    and each template that it covers by ``coverage`` or more, at its best covered place, the
-    first of equals.
+    and each place of a template that it covers by ``coverage`` or more; places of one template
+    don't overlap and span at most twice its words.
 
     A null or empty text has no license.  Repeated rows get rows each; a null doc_id stays null.
     Templates without words match nothing.  An empty table gives an empty table.  Other columns
