@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
+from .rows import pick, place, plain
 from .text import mixed, rolling_shingles, words_of
 from .vectors import word_hashes
 
@@ -103,7 +104,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame, shingle: int) -> Iterator[Index]:
     """Indexes of blocks of at most ``BLOCK`` items; the benchmark is a stated query set."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = pick(benchmark, item_id="long", text="string")
     block = []
     for row in items.toLocalIterator():
         block.append((row["item_id"], row["text"]))
@@ -132,21 +133,21 @@ def search(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: f
                 rows = [(d.as_py(), *x) for d, t in zip(batch.column(0), batch.column(1), strict=True) for x in own.contained(t.as_py(), threshold)]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "item_id", "containment"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+        part = pick(docs, doc_id="long", text="string").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item (see :func:`search`)."""
-    at = docs.columns.index("text")
+    at, rows = place(docs, "text"), plain(docs)
     for index in _indexes(benchmark, shingle):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
-                yield batch.filter(pa.array([not own.contained(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not own.contained(t.as_py(), threshold) for t in batch.column(at).cast(pa.string())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
-    return docs
+        rows = rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+    return rows.toDF(*docs.columns)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from .rows import pick, place, plain
 from .vectors import Table
 
 MAX_N = 3
@@ -240,7 +241,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     """Fit on at most ``per_language`` rows of each language, chosen by hash, fewer where there
     are more than ``sample`` / ``per_language`` languages; only text and lang of rows that aren't
     held out are learned from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = pick(docs, doc_id="long", text="string", lang="string")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / (1 << 40))
     spark = docs.sparkSession
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row of a label
@@ -278,18 +279,18 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
             names, scores = sent.value.predict(texts) if sent.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    ids = F.col("doc_id").cast("long")
-    return docs.select(ids.alias("doc_id"), held_out(ids).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = pick(docs, doc_id="long", text="string")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified with ``min_score`` or more."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language)), docs.columns.index("text")
+    sent, at, rows = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language)), place(docs, "text"), plain(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(at).cast(pa.string()).to_pylist()
             names, scores = sent.value.predict(texts) if sent.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])).toDF(*docs.columns)

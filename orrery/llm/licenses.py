@@ -20,9 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .license_texts import TEMPLATES
+from .rows import pick
 
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -153,4 +154,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 names=["doc_id", "license", "coverage", "first_word", "n_words", "span"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, coverage double, first_word int, n_words int, span string")
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, license string, coverage double, first_word int, n_words int, span string")

@@ -1,22 +1,25 @@
-"""Line dedup: repeated runs of lines by prefix doubling over line-ID sequences.
+"""Line dedup: repeated runs of lines by a suffix array over line-ID sequences.
 
-A text is its lines, split at line feeds; a line's ID is its XXH64 with its number of words.
-Suffixes of all documents' line sequences are ranked by their first 2^k lines, doubling k: a
-rank at k+1 is the place of the pair (rank at i, rank at i + 2^k) in a distributed sort of the
-distinct pairs.  A suffix whose class has one member is left out from then on, as no repeated
-run of that length starts there.  The suffixes that share their first m lines are an interval
-of the suffix array with a common prefix of m or more; for 2^k <= m < 2^(k+1) it is named by
-the two overlapping ranks (rank at i, rank at i + m - 2^k).  In each interval the earliest
-suffix stays and the later copies of the m lines are deleted.
+A text is its lines, split at line feeds; a line's ID is the 128-bit XXH3 of its bytes.  Suffixes
+of the stretches of repeated lines are ranked by their first 2^k lines, doubling k: a rank at
+k+1 is the place of the pair (rank at i, rank at i + 2^k) in a distributed sort of the distinct
+pairs.  The doubling ends when it tells no more suffixes apart; the last ranks order the suffix
+array.  The longest common prefix of two neighbours comes from the ranks too: from the deepest
+that they share on, each lower depth adds its lines where the ranks behind the common lines are
+equal.  Lines that occur once are in no repeated run and end a stretch.
 
 A repeated run counts if it has ``min_words`` words.  Any such run is the union of windows
 inside it that just reach that many words, taken from each first line forwards and from each
-last line backwards, so the intervals needed are those of these windows' lengths, and the union
-of the later copies of windows is the union of the later copies of maximal repeated runs.
+last line backwards.  The suffixes that share a window of m lines are the LCP interval around
+it: the stretch of the array up to the last entry before, and the next after, whose common
+prefix with its predecessor is less than m.  In each interval the earliest suffix stays and the
+later copies of the m lines are deleted; together these are the later copies of all maximal
+repeated runs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +27,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .rows import packed, pick, place, unpacked
 from .scratch import Scratch
 
 MIN_WORDS = 50
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
         ids, words, at = [], [], [0]
         for text in batch.column(2):
             if (text := text.as_py()) is not None:
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                ids += [digest(x, 3) for x in lines]
+                ids += [digest(x) for x in lines]
                 words += [len(x.split()) for x in lines]
             at.append(len(ids))
-        offsets = pa.array(at, pa.int32())
+        offsets, halves = pa.array(at, pa.int32()), np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.array(ids, np.uint64).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32()))],
-            names=["doc_id", "h", "ids", "words"],
+            [batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((halves[:, 0].copy(), pa.int64()), (halves[:, 1].copy(), pa.int64()), (words, pa.int32())))],
+            names=["doc_id", "h", "ids", "more", "words"],
         )
 
 
@@ -82,8 +86,8 @@ def _positions(min_words: int):
                 cuts = np.flatnonzero(np.diff(idx) != 1) + 1
                 for part in np.split(np.arange(len(idx)), cuts):
                     if words[part].sum() >= min_words:
-                        rows += [(ord_, int(idx[i]), lines[i]["id"], lines[i]["w"], sorted(starts.get(int(idx[i]), ()))) for i in part]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["ord", "idx", "id", "w", "spans"])
+                        rows += [(ord_, int(idx[i]), lines[i]["id"], lines[i]["more"], len(part) - at, sorted(starts.get(int(idx[i]), ()))) for at, i in enumerate(part.tolist())]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["ord", "idx", "id", "more", "left", "spans"])
 
     return run
 
@@ -99,56 +103,201 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keep, pa.list_(pa.bool_()))], names=["doc_id", "h", "keep"])
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, keep): for each document with deleted lines, which of its lines stay.
-
-    h is the XXH64 of the text; documents are in the order of (doc_id, h), null first.
-    """
-    scratch = Scratch(docs.sparkSession, "lines")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    lines = keyed.mapInArrow(_lines, "doc_id long, h long, ids array<long>, words array<int>").where(F.size("ids") > 0)
+def _sequences(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(ord, doc_id, h, ids, more, words): documents in the order of (doc_id, h), null first,
+    with their lines; rows of equal doc_id and text are one."""
+    keyed = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    lines = keyed.mapInArrow(_lines, "doc_id long, h long, ids array<long>, more array<long>, words array<int>").where(F.size("ids") > 0)
     lines = scratch.save(lines.dropDuplicates(["doc_id", "h"]), "unordered")
     lines = scratch.save(
         lines.repartitionByRange(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("ord", F.monotonically_increasing_id()), "ordered"
     )
     scratch.drop("unordered")
-    each = lines.select("ord", F.posexplode(F.arrays_zip("ids", "words")).alias("idx", "line")).select("ord", "idx", F.col("line.ids").alias("id"), F.col("line.words").alias("w"))
+    return lines
+
+
+def _places(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """(ord, idx, id, more, left, spans): lines that occur twice or more, in stretches of enough
+    words, with the number of lines up to the stretch's end and the lengths of the windows that
+    start there."""
+    each = lines.select("ord", F.posexplode(F.arrays_zip("ids", "more", "words")).alias("idx", "line")).select("ord", "idx", F.col("line.ids").alias("id"), F.col("line.more").alias("more"), F.col("line.words").alias("w"))
     # tables that are joined with what they were summed from are written first: a join of two
     # plain exchanges can be split where one line or interval has very many places
-    twice = scratch.save(each.groupBy("id", "w").agg(F.count("*").alias("n")).where("n > 1").select("id", "w"), "twice")
-    repeated = each.join(twice, ["id", "w"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("idx", "id", "w")).alias("lines"))
-    places = scratch.save(repeated.mapInArrow(_positions(min_words), "ord long, idx int, id long, w int, spans array<int>"), "places")
-    spans = scratch.save(places.select("ord", "idx", F.explode("spans").alias("m")), "spans")
-    longest = spans.agg(F.max("m")).first()[0] or 0
-    ranks = scratch.save(_ranked(scratch, places.select("ord", "idx", F.col("id").alias("a"), F.col("w").cast("long").alias("b")), 0), "ranks0")
-    marks, k = None, 0
-    while True:
-        reach = 1 << k
-        here = spans.where((F.col("m") >= reach) & (F.col("m") < 2 * reach))
-        named = here.join(ranks.withColumnRenamed("r", "r1"), ["ord", "idx"]).withColumn("at", F.col("idx") + F.col("m") - reach)
-        named = named.join(ranks.select("ord", F.col("idx").alias("at"), F.col("r").alias("r2")), ["ord", "at"]).select("ord", "idx", "m", "r1", "r2")
-        named = scratch.save(named, f"intervals{k}")
-        first = named.groupBy("m", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("ord", "idx")).alias("first")).where("n > 1").drop("n")
-        first = scratch.save(first, f"first{k}")
-        later = named.join(first, ["m", "r1", "r2"]).where(F.struct("ord", "idx") > F.col("first")).select("ord", "idx", "m")
-        marks = later if marks is None else marks.union(later)
-        if 2 * reach > longest:
-            break
+    twice = scratch.save(each.groupBy("id", "more").agg(F.count("*").alias("n")).where("n > 1").select("id", "more"), "twice")
+    repeated = each.join(twice, ["id", "more"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("idx", "id", "more", "w")).alias("lines"))
+    return scratch.save(repeated.mapInArrow(_positions(min_words), "ord long, idx int, id long, more long, left int, spans array<int>"), "places")
+
+
+def _ranked(scratch: Scratch, pairs: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(ord, idx, r) of all (ord, idx, a, b), and the number of different r, which have the order of (a, b)."""
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = pairs.select("a", "b").distinct().repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b")
+    ordered = scratch.save(classes.withColumn("r", F.monotonically_increasing_id()), f"classes{k}")
+    ranks = scratch.save(pairs.join(ordered, ["a", "b"]).select("ord", "idx", "r"), f"ranks{k}")
+    number = ordered.count()
+    scratch.drop(f"classes{k}", f"pairs{k}")
+    return ranks, number
+
+
+def _doubled(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Ranks (ord, idx, r) by the first 1, 2, 4, ... lines of a stretch, up to those that tell
+    apart all that longer ones do."""
+    pairs = places.select("ord", "idx", F.col("id").alias("a"), F.col("more").alias("b"))
+    ranks, number = _ranked(scratch, pairs, 0)
+    found = [ranks]
+    while number:
+        reach = 1 << (len(found) - 1)
         ahead = F.first("r").over(W.partitionBy("ord").orderBy("idx").rangeBetween(reach, reach))
-        pairs = ranks.withColumn("b", ahead).where("b is not null").select("ord", "idx", F.col("r").alias("a"), "b")
-        ranks = scratch.save(_ranked(scratch, scratch.save(pairs, f"pairs{k + 1}"), k + 1), f"ranks{k + 1}")
-        k += 1
+        pairs = found[-1].select("ord", "idx", F.col("r").alias("a"), F.coalesce(ahead, F.lit(-1)).alias("b"))  # -1: the stretch has ended
+        ranks, finer = _ranked(scratch, scratch.save(pairs, f"pairs{len(found)}"), len(found))
+        if finer == number:
+            return found
+        found.append(ranks)
+        number = finer
+    return []
+
+
+def _array(places: DataFrame, ranks: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """The suffix array (p, ord, idx, spans, lcp) of the places where a window starts, ascending
+    in p; lcp is the number of lines that an entry shares with the one before it."""
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    every = ranks[0].withColumn("k", F.lit(0))
+    for k, df in enumerate(ranks[1:], 1):
+        every = every.union(df.withColumn("k", F.lit(k)))
+    paths = every.groupBy("ord", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("path")).select("ord", "idx", F.col("path.r").alias("path"))
+    starts = places.where(F.size("spans") > 0).select("ord", "idx", "left", "spans").join(paths, ["ord", "idx"])
+    starts = scratch.save(starts.withColumn("r", F.element_at("path", -1)), "starts")
+    array = starts.repartitionByRange(n, "r", "ord", "idx").sortWithinPartitions("r", "ord", "idx").withColumn("p", F.monotonically_increasing_id())
+    array = scratch.save(array, "array")
+    ends = array.groupBy(F.shiftright("p", 33).alias("part")).agg(F.min("p").alias("first"), F.max("p").alias("last")).orderBy("part").collect()  # a row of a partition
+    jumps = F.create_map(*[x for a, b in zip(ends, ends[1:], strict=False) for x in (F.lit(b["first"]), F.lit(a["last"]))]) if len(ends) > 1 else None
+    before = F.col("p") - 1 if jumps is None else F.coalesce(F.try_element_at(jumps, F.col("p")), F.col("p") - 1)
+    others = array.select(F.col("p").alias("q"), F.col("ord").alias("ord2"), F.col("idx").alias("idx2"), F.col("path").alias("path2"))
+    shared = F.size(F.filter(F.zip_with("path", "path2", lambda a, b: a == b), lambda x: x))
+    pairs = array.withColumn("q", before).join(others, "q", "left").withColumn("depth", F.when(F.col("ord2").isNull(), 0).otherwise(shared) - 1)
+    pairs = pairs.select("p", "ord", "idx", "left", "spans", "ord2", "idx2", "depth", F.when(F.col("depth") < 0, 0).otherwise(F.expr("shiftleft(1, greatest(depth, 0))")).alias("lcp"))
+    pairs = scratch.save(pairs, "neighbours")
+    active = None
+    for k in range(len(ranks) - 2, -1, -1):
+        entering = pairs.where(F.col("depth") == k + 1)
+        active = entering if active is None else active.union(entering)
+        a = ranks[k].select("ord", F.col("idx").alias("at"), F.col("r").alias("r1"))
+        b = ranks[k].select(F.col("ord").alias("ord2"), F.col("idx").alias("at2"), F.col("r").alias("r2"))
+        both = active.withColumns({"at": F.col("idx") + F.col("lcp"), "at2": F.col("idx2") + F.col("lcp")}).join(a, ["ord", "at"], "left").join(b, ["ord2", "at2"], "left")
+        more = F.when(F.col("r1") == F.col("r2"), 1 << k).otherwise(0)
+        active = scratch.save(both.withColumn("lcp", F.col("lcp") + more).select(*pairs.columns), f"lcp{k}")
+        scratch.drop(f"lcp{k + 1}")
+    whole = pairs.where("depth <= 0")
+    found = whole if active is None else whole.union(active)
+    # suffixes that end together are equal at every depth
+    return found.select("p", "ord", "idx", "spans", F.least("lcp", "left").alias("lcp"))
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part of the array, in order: the entries that have a smaller lcp than all after them in it."""
+    part, ps, lcps, rows = None, [], [], []
+    for batch in batches:
+        for key, p, lcp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != part:
+                if part is not None:
+                    rows.append((part, ps, lcps))
+                part, ps, lcps = key, [], []
+            _push(ps, lcps, p, lcp)
+    if part is not None:
+        rows.append((part, ps, lcps))
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], names=["part", "ps", "lcps"])
+
+
+def _push(ps: list[int], lcps: list[int], p: int, lcp: int) -> None:
+    while lcps and lcps[-1] >= lcp:
+        ps.pop()
+        lcps.pop()
+    ps.append(p)
+    lcps.append(lcp)
+
+
+def _bounds(sent):
+    """Windows (ord, idx, m) to the first entry ``q`` of the LCP interval of their m lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ps, lcps, before = None, [], [], ([], [])
+        for batch in batches:
+            rows = []
+            for key, p, lcp, ord_, idx, spans in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != part:
+                    part, ps, lcps, before = key, [], [], sent.value[key]
+                _push(ps, lcps, p, lcp)
+                for m in spans:
+                    at = bisect_left(lcps, m) - 1
+                    rows.append((ord_, idx, m, ps[at] if at >= 0 else before[0][bisect_left(before[1], m) - 1]))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["ord", "idx", "m", "q"])
+
+    return run
+
+
+def _intervals(array: DataFrame, scratch: Scratch) -> DataFrame:
+    """(ord, idx, m, q): windows of m lines with the LCP interval that they are in.
+
+    The driver gets of each part of the array its entries of smaller lcp than all after, at most
+    one for each length of a common prefix.
+    """
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = array.select(F.shiftright("p", 33).alias("part"), "p", "lcp", "ord", "idx", "spans").repartition(n, "part").sortWithinPartitions("part", "p")
+    found = parted.select("part", "p", "lcp").mapInArrow(_minima, "part long, ps array<long>, lcps array<int>").orderBy("part").collect()
+    carried, ps, lcps = {}, [], []
+    for r in found:
+        carried[r["part"]] = (list(ps), list(lcps))
+        for p, lcp in zip(r["ps"], r["lcps"], strict=True):
+            _push(ps, lcps, p, lcp)
+    return scratch.save(parted.mapInArrow(_bounds(scratch.spark.sparkContext.broadcast(carried)), "ord long, idx int, m int, q long"), "intervals")
+
+
+def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(place, doc_id, h, line, lcp): the suffix array of the lines at which a window of repeated
+    lines of ``min_words`` words starts; h is the XXH64 of the text, line counts from 0."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = _sequences(docs, scratch)
+    places = _places(lines, min_words, scratch)
+    ranks = _doubled(places, scratch)
+    if not ranks:
+        return docs.sparkSession.createDataFrame([], "place long, doc_id long, h long, line int, lcp int")
+    array = _array(places, ranks, scratch)
+    return array.join(lines.select("ord", "doc_id", "h"), "ord").select(F.col("p").alias("place"), "doc_id", "h", F.col("idx").alias("line"), "lcp")
+
+
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, keep): for each document with deleted lines, which of its lines stay.
+
+    h is the XXH64 of the text; documents are in the order of (doc_id, h), null first.
+    """
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = _sequences(docs, scratch)
+    places = _places(lines, min_words, scratch)
+    ranks = _doubled(places, scratch)
+    if not ranks:
+        return scratch.save(docs.sparkSession.createDataFrame([], "doc_id long, h long, keep array<boolean>"), "kept")
+    named = _intervals(_array(places, ranks, scratch), scratch)
+    first = named.groupBy("m", "q").agg(F.count("*").alias("n"), F.min(F.struct("ord", "idx")).alias("first")).where("n > 1").drop("n")
+    first = scratch.save(first, "first")
+    marks = named.join(first, ["m", "q"]).where(F.struct("ord", "idx") > F.col("first")).select("ord", "idx", "m")
     spans_of = marks.groupBy("ord").agg(F.collect_list(F.struct("idx", "m")).alias("spans"))
     kept = lines.select("ord", "doc_id", "h", F.size("ids").alias("n")).join(spans_of, "ord").select("doc_id", "h", "n", "spans")
-    return scratch.save(kept.mapInArrow(_kept, "doc_id long, h long, keep array<boolean>"), "kept")
+    kept = scratch.save(kept.mapInArrow(_kept, "doc_id long, h long, keep array<boolean>"), "kept")
+    scratch.keep("kept")
+    return kept
 
 
-def _ranked(scratch: Scratch, pairs: DataFrame, k: int) -> DataFrame:
-    """(ord, idx, r) of those (ord, idx, a, b) whose (a, b) occurs twice or more; r has the order of (a, b)."""
-    classes = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = scratch.save(classes.repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").withColumn("r", F.monotonically_increasing_id()), f"classes{k}")
-    return pairs.join(ordered, ["a", "b"]).select("ord", "idx", "r")
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, changed, cleaned, n, removed): the caller's rows, texts without later copies and numbers of lines."""
+    kept = later_copies(docs, min_words)
+    keyed = packed(docs, doc_id="long", text="string").withColumn("h", F.xxhash64("text")).alias("d")
+    # texts are dealt by document at every size: what stays of the lines grows with the input
+    joined = keyed.join(kept.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")), "left")
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: F.get(F.col("keep"), i))
+    cleaned = F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    removed = F.when(F.col("keep").isNull(), F.lit(0)).otherwise(F.size(F.filter("keep", lambda x: ~x)))
+    return joined.select("row", cleaned.alias("cleaned"), n.cast("long").alias("n"), removed.cast("long").alias("removed"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -159,29 +308,18 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stays null and has no lines; an empty text has one empty line.  Rows of equal doc_id and
     text are one document: each of them gets the same text.  Between documents of one doc_id the
     one of the smaller XXH64 is earlier; null ids are earliest.  A document whose lines all go
-    keeps its row with an empty text.  An empty table gives an empty table.
+    keeps its row with an empty text.  An empty table gives an empty table.  Columns may have
+    any names; one named _lines makes room for the counts.
     """
-    kept = later_copies(docs, min_words)
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_h": F.xxhash64(text)}).alias("d")
-    # texts are dealt by document at every size: what stays of the lines grows with the input
-    joined = keyed.join(kept.hint("merge").alias("k"), F.col("d._doc").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k.h")), "left")
-    lines = F.split(F.col("d.text").cast("string"), "\n", -1)
-    n = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.length("d.text") - F.length(F.translate(F.col("d.text").cast("string"), "\n", "")) + 1)
-    left = F.filter(lines, lambda x, i: F.get(F.col("k.keep"), i))
-    cleaned = F.when(F.col("k.keep").isNull(), F.col("d.text").cast("string")).otherwise(F.array_join(left, "\n"))
-    removed = F.coalesce(F.size(F.filter("k.keep", lambda x: ~x)), F.lit(0))
-    removed = F.when(F.col("k.keep").isNull(), F.lit(0)).otherwise(removed)
-    columns = [cleaned.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns]
-    return joined.select(*columns, F.struct(n.cast("long").alias("n"), removed.cast("long").alias("removed")).alias("_lines"))
+    return unpacked(_cleaned(docs, min_words), docs, {place(docs, "text"): F.col("cleaned")}, {"_lines": F.struct("n", "removed")})
 
 
 def remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """:func:`deduplicate` without the rows that lost lines and have no word left, with the
     columns of ``docs``; n_chars, where there is one, follows the text."""
-    found = deduplicate(docs, min_words).where((F.col("_lines.removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    columns = dict(docs.dtypes)
-    if columns.get("n_chars") in ("int", "bigint"):
-        changed = F.col("_lines.removed") > 0
-        found = found.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(columns["n_chars"]))
-    return found.select(*docs.columns)
+    found = _cleaned(docs, min_words).where((F.col("removed") == 0) | F.col("cleaned").rlike("[^\\x20\\x09-\\x0D]"))
+    replaced = {place(docs, "text"): F.col("cleaned")}
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        at = place(docs, "n_chars")
+        replaced[at] = F.when(F.col("removed") > 0, F.char_length("cleaned")).otherwise(F.col(f"row.c{at}")).cast(docs.schema[at].dataType)
+    return unpacked(found, docs, replaced)

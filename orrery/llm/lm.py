@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rows import pick
 from .scratch import Scratch
 from .vectors import _LOWER, Table, word_hashes
 
@@ -250,8 +251,8 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     table gives an empty table.  Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(ids.alias("doc_id"), F.xxhash64(text).alias("h"), held_out(ids).alias("held_out"), text.alias("text"))
+    ids, text = F.col("doc_id"), F.col("text")
+    rows = pick(docs, doc_id="long", text="string").select(ids.alias("doc_id"), F.xxhash64(text).alias("h"), held_out(ids).alias("held_out"), text.alias("text"))
     counted = rows.select("held_out", "text").mapInArrow(_count, "kind byte, key long, n long")
     counted = scratch.save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}

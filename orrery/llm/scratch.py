@@ -27,7 +27,7 @@ class Scratch:
     """Named tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.saved = spark, set()
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -36,6 +36,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table.  Snappy keeps no memory outside the heap between files."""
         df.write.mode("overwrite").option("compression", "snappy").parquet(self.path(name))
+        self.saved.add(name)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
@@ -47,3 +48,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.saved.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which the caller still reads."""
+        self.drop(*(self.saved - set(names)))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected
+from .rows import pick
 from .scratch import Scratch
 from .text import shingle_hashes, words_of
 
@@ -49,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rows import pick
 from .scratch import Scratch
 from .text import WORD_JAVA
 
@@ -77,8 +78,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sketch")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = pick(docs, doc_id="long", text="string").select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     ids = rows.groupBy("nn", "id").agg(F.max(F.char_length("text")).alias("most"), F.min("h").alias("h"), F.count("*").alias("n"))
     ids = scratch.save(ids, "ids")
     repeated = ids.where("n > 1").limit(1).count() > 0

@@ -25,6 +25,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .rows import pick
 from .scratch import Scratch
 from .text import words_of
 
@@ -101,7 +102,8 @@ def counted(docs: DataFrame, counters: dict[str, Callable[[str], int]]) -> DataF
                 own = pa.array([t[i] for t in tokens], pa.int64())
                 yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array([name] * len(tokens)), pa.array([1] * len(tokens), pa.int64()), own], names=["nn", "id", "source", "lang", "tokenizer", "docs", "tokens"])
 
-    keyed = docs.select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    rows = pick(docs, doc_id="long", source="string", lang="string", text="string")
+    keyed = rows.select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce("doc_id", F.lit(0)).alias("id"), "source", "lang", "text")
     return keyed.mapInArrow(run, LEDGER)
 
 
@@ -217,6 +219,7 @@ class Rollup:
         if self._known(log, batch):
             return False
         attempt = uuid.uuid4().hex
+        changes = pick(changes, op="string", doc_id="long", source="string", lang="string", text="string")
         known = F.when(F.col("op").isin("insert", "revise", "delete"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))))
         changes = changes.withColumn("op", known)
         at = f"{self.folder}/attempts/{attempt}"
@@ -248,12 +251,12 @@ def totals(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     rollup = Rollup(docs.sparkSession, scratch.path("rollup"), tokenizers(folder))
-    text, share = F.col("text").cast("string"), F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 10
-    of = lambda op, *columns: docs.select(F.lit(op).alias("op"), F.col("doc_id").cast("long").alias("doc_id"), *columns)
-    source, lang = F.col("source").cast("string"), F.col("lang").cast("string").alias("lang")
+    rows = pick(docs, doc_id="long", source="string", lang="string", text="string")
+    text, source, lang, share = F.col("text"), F.col("source"), F.col("lang"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    of = lambda op, *columns: rows.select(F.lit(op).alias("op"), "doc_id", *columns)
     nothing = F.lit(None).cast("string")
     batches = {
-        "inserts": of("insert", source.alias("source"), lang, text.alias("text")),
+        "inserts": of("insert", source, lang, text),
         "revisions": of("revise", F.lit("revised").alias("source"), lang, F.concat_ws(" ", text, text).alias("text")).where(share == 3),
         "deletes": of("delete", nothing.alias("source"), nothing.alias("lang"), nothing.alias("text")).where(share == 7),
     }

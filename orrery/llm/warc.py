@@ -21,6 +21,7 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .rows import pick
 from .scratch import Scratch
 
 #: Fixed values of the seekable Zstandard format.
@@ -147,8 +148,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     A bundle belongs to one attempt of one task: the index names only bundles of attempts that
     ended, so a lost executor leaves at most files that nothing refers to.
     """
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    keyed = pick(pages, page_id="long", url="string", html="string").select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
     groups = keyed.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
     # written first, so that the join is one of two plain exchanges, which can be split where

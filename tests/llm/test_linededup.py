@@ -49,3 +49,23 @@ def test_defined_cases(spark):
         [(1, None, 0, 0), (2, rows[1][1], 3, 0), (3, "c", 2, 1), (3, "c", 2, 1), (4, "", 1, 1), (None, "n", 1, 0)], key=str
     )
     assert linededup.deduplicate(documents(spark, [])).collect() == []
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 9]))) for _ in range(6)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.choice([1, 9, 40]))) for _ in range(30)] + ["\n".join(["same"] * 100)] * 2
+    found = sorted(linededup.suffix_array(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), 4).collect(), key=lambda r: r.place)
+    lines = [t.split("\n") for t in texts]
+    starts = [(r.doc_id, r.line) for r in found]
+    assert len(set(starts)) == len(starts) > 500
+
+    def shared(a, b):
+        x, y = lines[a[0]][a[1] :], lines[b[0]][b[1] :]
+        return next((n for n, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+    assert [r.lcp for r in found] == [0] + [shared(a, b) for a, b in zip(starts, starts[1:])]
+    # an order of suffixes: those of any common prefix stand together
+    for m in (1, 2, 5, 20):
+        groups = [tuple(lines[d][i : i + m]) for d, i in starts if i + m <= len(lines[d])]
+        assert len({g for g, h in zip(groups, [None, *groups]) if g != h}) == sum(g != h for g, h in zip(groups, [None, *groups]))
