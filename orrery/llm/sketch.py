@@ -79,15 +79,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "sketch")
     text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, doc_id="long", text="string").select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    ids = rows.groupBy("nn", "id").agg(F.max(F.char_length("text")).alias("most"), F.min("h").alias("h"), F.count("*").alias("n"))
+    rows = pick(docs, doc_id="long", text="string").select(F.col("doc_id").isNotNull().alias("nn"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text"))
+    ids = rows.groupBy("nn", "id").agg(F.max(F.char_length("text")).alias("most"), F.min(F.xxhash64("text")).alias("h"), F.count("*").alias("n"))
     ids = scratch.save(ids, "ids")
     repeated = ids.where("n > 1").limit(1).count() > 0
     chain = scratch.save(_next_of(ids.drop("n"), scratch), "chain")
 
-    # the same exchange of the texts by id serves both joins: h is compared without an equality
-    same_h = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
-    lent = rows.join(chain.select(F.col("nn").alias("of_nn"), F.col("id").alias("of_id"), "most", F.col("to_nn").alias("nn"), F.col("to_id").alias("id"), "to_h"), ["nn", "id"]).where(same_h("h", "to_h"))
+    # the same exchange of the texts by id serves both joins: it has the same columns for both
+    lent = rows.join(chain.select(F.col("nn").alias("of_nn"), F.col("id").alias("of_id"), "most", F.col("to_nn").alias("nn"), F.col("to_id").alias("id"), "to_h"), ["nn", "id"]).where(F.xxhash64("text").bitwiseXOR(F.col("to_h")) == 0)
     head = F.substring("text", F.lit(1), F.floor(F.col("most") / 2).cast("int")).alias("head")
     lent = with_sketch(lent.select(F.col("of_nn").alias("nn"), F.col("of_id").alias("id"), head, "text"), "text", "next")
     if repeated:
