@@ -102,5 +102,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     stars = connected(links(least.select("fp"), scratch), scratch)
     rooted = least.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.save(named, "named")
     by_fp = scratch.save(rooted.join(named, "root").select("fp", "component_id"), "components")
+    scratch.keep("fingerprints", "components")
     return ids.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
