@@ -11,19 +11,24 @@ each depth the weight of stopping is Pe / (Pe + product of the children's Pw), a
 leave it.  -score / bytes is the code length a byte.
 
 Counts of (context, byte) are summed from every document; held-out documents add their keys with
-count 0, so every probability that scoring needs is worked out once for each distinct key.
-Subtrees below the last two bytes are independent; the levels above are sums over at most 2^16
-contexts.  Keys are looked up in blocks of at most ``BLOCK`` rows, so memory is bounded at any
-number of keys.
+count 0, so every probability that scoring needs is worked out once for each distinct key.  Three
+bytes of context part the keys: depths 3 and more are worked out for whole triples at a time, at
+most 2^24 keys each, and the depths above from sums over them.
+
+The model stays on the executors.  Documents are written in chunks of about ``CHUNK`` bytes, and
+a chunk asks for its distinct keys once; what they are worth comes back by a join on the key and
+meets the chunk's documents, which are not dealt again.  So a task holds one chunk with its keys,
+whatever the number of keys of the corpus, and the corpus is read once for counts and once for
+scores.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from math import log10, pi
+from math import ceil, log10, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,10 +37,14 @@ from .scratch import Scratch
 from .vectors import _LOWER, Table, word_hashes
 
 DEPTH = 5
-#: Keys that are looked up at once, of each kind.
-BLOCK = 4_000_000
+#: Bytes of a chunk of documents as the table holds them, more or less.
+CHUNK = 48 << 20
 #: Keys after which a task merges what it has counted.
 MERGE = 2_000_000
+#: Rows of whole triples that are worked out at once.
+ROWS = 500_000
+#: Mark of the keys of words beside those of contexts.
+_WORD = np.uint64(1 << 63)
 _EDGE = 0xFF
 _LN10 = np.log(10.0)
 _TERMS = np.arange(0, 1 << 16, dtype=np.float64)
@@ -84,22 +93,30 @@ class _Counter:
         self.parts = []
 
 
+def _word_keys(text: str | None) -> np.ndarray:
+    return word_hashes(text) | _WORD
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 context keys, 1 word hashes, 2 ends; n counts learning occurrences."""
-    counters, ends = (_Counter(), _Counter()), 0
-    for batch in batches:
-        for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            counters[0].add(keys_of(text), not held_out)
-            if not held_out:
-                counters[1].add(word_hashes(text), True)
-                ends += 1
-    for kind, counter in enumerate(counters):
+    """Texts (chunk, held_out, text) to the distinct keys of each chunk (chunk, key, n); n counts
+    learning occurrences."""
+
+    def flush(chunk: int | None, counter: _Counter) -> Iterator[pa.RecordBatch]:
         for keys, n in counter.flush():
             for at in range(0, len(keys), 200_000):
                 part = keys[at : at + 200_000]
-                yield pa.record_batch([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["kind", "key", "n"])
-    yield pa.record_batch([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], names=["kind", "key", "n"])
+                yield pa.record_batch([pa.array(np.full(len(part), chunk, np.int32)), pa.array(part.view(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["chunk", "key", "n"])
+
+    now, counter = None, _Counter()
+    for batch in batches:
+        for chunk, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if chunk != now:
+                yield from flush(now, counter)
+                now = chunk
+            text = text.as_py()
+            counter.add(keys_of(text), not held_out)
+            counter.add(_word_keys(text), not held_out)
+    yield from flush(now, counter)
 
 
 def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -131,14 +148,13 @@ def _bits(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (s >> (8 - j)), (s >> (7 - j)) & 1
 
 
-def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All keys of the contexts that end in the same two bytes: each key's bit probabilities
-    from depth 2 on, and one row (key null) with n0, n1 and ln Pw at depth 2 of each node."""
-    key, n = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.float64)
+def _deep(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For all keys of whole triples: (key, 8) probabilities of the bits as the depths from 3 on
+    mix them, and of each (triple, node) its place, n0, n1 and ln Pw."""
     node, bit = _bits(key & 0xFF)
-    node, bit, counts = node.ravel(), bit.ravel(), np.repeat(n, 8)
+    node, bit, counts = node.ravel(), bit.ravel(), np.repeat(n.astype(np.float64), 8)
     stack, log_pw, above = [], None, None
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, 2, -1):
         place = np.repeat(key >> (8 * (DEPTH - depth + 1)), 8) << 8 | node
         ids, inverse = np.unique(place, return_inverse=True)
         n1 = np.bincount(inverse, counts * bit, len(ids))
@@ -156,59 +172,85 @@ def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
     p = stack[0][1]
     for weight, estimate in stack[1:]:
         p = weight * estimate + (1 - weight) * p
-    at = above & 0xFF
-    level = np.zeros((3, 256))
-    for i, x in enumerate((n0, n1, log_pw)):
-        level[i, at] = x
-    return pd.DataFrame(
-        {
-            "last": np.full(len(key) + 1, int(key[0] >> (8 * DEPTH)), np.int32),
-            "key": pd.array([*key.tolist(), None], dtype="Int64"),
-            "p": [*p.reshape(-1, 8), level.ravel()],
-        }
-    )
+    return p.reshape(-1, 8), ids, n0, n1, log_pw
 
 
-def _level1(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of depth 2 that share their last byte to one of depth 1."""
-    n0, n1, children = np.stack([np.asarray(x).reshape(3, 256) for x in pdf["p"]]).sum(axis=0)
-    log_pe = _kt(n0, n1)
-    return pd.DataFrame({"last": [int(pdf["last"].iloc[0])], "p": [np.concatenate((n0, n1, _weighted(log_pe, children), _stop_weight(log_pe, children)))]})
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of their first column, whole groups of it at a time, ``ROWS`` or more."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(0).to_numpy()
+        at = int(np.searchsorted(group, group[-1]))
+        if at and size + at >= ROWS:
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held, size, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _depth3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole(batches):
+        _, ids, n0, n1, log_pw = _deep(rows.column("key").to_numpy(), rows.column("n").to_numpy())
+        yield pa.record_batch([pa.array((ids >> 8).astype(np.int32)), pa.array((ids & 0xFF).astype(np.int16)), pa.array(n0), pa.array(n1), pa.array(log_pw)], names=["place", "node", "n0", "n1", "pw"])
+
+
+def _mixed_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, node, n0, n1, below) to the weight of stopping and ln Pw there."""
+    for batch in batches:
+        n0, n1, below = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        log_pe = _kt(n0, n1)
+        yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(_stop_weight(log_pe, below)), pa.array(_weighted(log_pe, below))], names=["place", "node", "n0", "n1", "w", "pw"])
 
 
-def _top(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each last byte and node: probability of bits 0 and 1 that the depths 0 and 1 add, and
-    the factor of the deeper probability."""
-    level = {r["last"]: np.asarray(r["p"]).reshape(4, 256) for r in rows}
-    n0, n1 = (sum(x[i] for x in level.values()) for i in (0, 1))
-    w0 = _stop_weight(_kt(n0, n1), sum(x[2] for x in level.values()))
-    zero, one, factor = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
-    for c, (m0, m1, _, w1) in level.items():
-        for out, n, m in ((zero, n0, m0), (one, n1, m1)):
-            out[c] = w0 * (n + 0.5) / (n0 + n1 + 1) + (1 - w0) * w1 * (m + 0.5) / (m0 + m1 + 1)
-        factor[c] = (1 - w0) * (1 - w1)
-    return zero, one, factor
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole triples, for each its nodes with what the depths above add, then its keys, to (key, value)."""
+    for rows in _whole(batches):
+        triple, is_key = rows.column("triple").to_numpy(), rows.column("is_key").to_numpy(zero_copy_only=False)
+        key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+        head, own = ~is_key, key[is_key]
+        heads = triple[head].astype(np.int64) << 8 | key[head]
+        zero, one, factor = (rows.column(c).to_numpy()[head] for c in ("zero", "one", "factor"))
+        order = np.argsort(heads)
+        deeper = _deep(own, n[is_key])[0]
+        node, bit = _bits(own & 0xFF)
+        at = order[np.searchsorted(heads, (own >> 24)[:, None] << 8 | node, sorter=order)]
+        p = np.where(bit == 1, one[at], zero[at]) + factor[at] * deeper
+        yield pa.record_batch([pa.array(own), pa.array(np.log10(p).sum(axis=1))], names=["key", "value"])
 
 
 def model(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, logp) of each (key, n): log10 of its byte's probability after its context."""
-    spark = keys.sparkSession
-    by_pair = keys.withColumn("pair", F.shiftrightunsigned("key", 8 * (DEPTH - 1)))
-    deep = scratch.save(by_pair.groupBy("pair").applyInPandas(_subtree, "last int, key long, p array<double>"), "subtrees")
-    first = deep.where("key is null").groupBy("last").applyInPandas(_level1, "last int, p array<double>")
-    sent = spark.sparkContext.broadcast(_top(first.collect()))  # at most 256 rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero, one, factor = sent.value
-        for batch in batches:
-            last, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            deeper = np.asarray(batch.column(2).flatten()).reshape(-1, 8)
-            node, bit = _bits(key & 0xFF)
-            c = last[:, None]
-            p = np.where(bit == 1, one[c, node], zero[c, node]) + factor[c, node] * deeper
-            yield pa.record_batch([batch.column(1), pa.array(np.log10(p).sum(axis=1))], names=["key", "logp"])
-
-    return scratch.save(deep.where("key is not null").mapInArrow(run, "key long, logp double"), "model")
+    """(key, value) of each (key, n): log10 of its byte's probability after its context."""
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.withColumn("triple", F.shiftright("key", 8 * (DEPTH - 2)).cast("int"))
+    by_triple = keys.select("triple", "key", "n").repartition(parts, "triple").sortWithinPartitions("triple")
+    schema = "place int, node short, n0 double, n1 double"
+    deep = scratch.save(by_triple.mapInArrow(_depth3, f"{schema}, pw double"), "depth3")
+
+    def above(below: DataFrame, name: str) -> DataFrame:
+        sums = below.groupBy(F.shiftright("place", 8).alias("place"), "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")], F.sum("pw").alias("below"))
+        return scratch.save(sums.mapInArrow(_mixed_levels, f"{schema}, w double, pw double"), name)
+
+    two = above(deep, "depth2")
+    one = above(two, "depth1")  # at most 2^16 rows
+    root = above(one, "depth0")  # at most 2^8 rows
+    a, b, c = two.alias("a"), F.broadcast(one).alias("b"), F.broadcast(root).alias("c")
+    levels = a.join(b, (F.shiftright("a.place", 8) == F.col("b.place")) & (F.col("a.node") == F.col("b.node"))).join(c, F.col("b.node") == F.col("c.node"))
+    estimate = lambda t, bit: (F.col(f"{t}.n{bit}") + 0.5) / (F.col(f"{t}.n0") + F.col(f"{t}.n1") + 1)
+    go = lambda t: 1 - F.col(f"{t}.w")
+    adds = [F.col("c.w") * estimate("c", i) + go("c") * (F.col("b.w") * estimate("b", i) + go("b") * F.col("a.w") * estimate("a", i)) for i in (0, 1)]
+    levels = levels.select("a.place", "a.node", adds[0].alias("zero"), adds[1].alias("one"), (go("c") * go("b") * go("a")).alias("factor"))
+    levels = scratch.save(levels, "levels")
+    heads = deep.select(F.col("place").alias("triple"), "node", F.shiftright("place", 8).alias("place")).join(levels, ["place", "node"])
+    nothing = F.lit(0.0)
+    both = heads.select("triple", F.lit(False).alias("is_key"), F.col("node").cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "zero", "one", "factor").union(
+        keys.select("triple", F.lit(True), "key", "n", nothing, nothing, nothing)
+    )
+    ordered = both.repartition(parts, "triple").sortWithinPartitions("triple", "is_key")
+    return ordered.mapInArrow(_scored, "key long, value double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -216,32 +258,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _partial(tables, denominator: float):
-    """For each text: known words, their base score, the model's score, as far as a block knows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (gram_keys, gram_values), (word_keys, word_values) = tables.value
-        grams, counts = Table(gram_keys, gram_values), Table(word_keys, word_values)
-        logs = np.log10((word_values + 0.1) / denominator) if len(word_values) else np.zeros(0)
-        for batch in batches:
-            rows = []
-            for text in batch.column(3):
-                text, score = text.as_py(), 0.0
-                keys = keys_of(text)
-                for at in range(0, len(keys), 1 << 18):
-                    found = grams.find(keys[at : at + (1 << 18)])
-                    score += float(gram_values[found[found >= 0]].sum())
-                words = word_hashes(text)
-                found = counts.find(words)
-                known = found[found >= 0]
-                rows.append((len(words), len(known), float(logs[known].sum()), score))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *columns], names=["doc_id", "h", "held_out", "words", "known", "base", "score"])
+def _chunk_scores(denominator: float):
+    """The documents of a chunk and the values of its keys to their scores."""
+
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        keys, worth = values.column("key").to_numpy().view(np.uint64), values.column("value").to_numpy()
+        is_word = keys >= _WORD
+        grams, words = Table(keys[~is_word], worth[~is_word]), Table(keys[is_word], worth[is_word])
+        logs = np.log10((words.values + 0.1) / denominator)
+        rows = []
+        for text in docs.column("text"):
+            text, score = text.as_py(), 0.0
+            own = keys_of(text)
+            for at in range(0, len(own), 1 << 18):
+                score += float(grams.values[grams.find(own[at : at + (1 << 18)])].sum())
+            found = words.find(_word_keys(text))
+            known = found[words.values[found] > 0]
+            rows.append((len(found), len(known), float(logs[known].sum()), score))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names=["doc_id", "held_out", "words", "known", "base", "score"])
 
     return run
 
 
-def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of ``docs``.
 
     Whole texts, A-Z in lower case; a null text is an empty one and has the end only.  Learns
@@ -251,39 +291,35 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     table gives an empty table.  Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    ids, text = F.col("doc_id"), F.col("text")
-    rows = pick(docs, doc_id="long", text="string").select(ids.alias("doc_id"), F.xxhash64(text).alias("h"), held_out(ids).alias("held_out"), text.alias("text"))
-    counted = rows.select("held_out", "text").mapInArrow(_count, "kind byte, key long, n long")
-    counted = scratch.save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    totals = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-    ends = totals[2]["n"] if 2 in totals else 0
-    words, distinct = (totals[1]["n"], totals[1]["distinct"]) if 1 in totals else (0, 0)
-    n, v = words + ends, distinct + (ends > 0)
-    denominator = n + 0.1 * (v + 1)
-    grams = model(counted.where("kind = 0").select("key", "n"), scratch) if 0 in totals else None
-    most = max(totals[k]["distinct"] for k in (0, 1) if k in totals) if totals.keys() & {0, 1} else 0
-    blocks = max(1, -(-most // block))
-
-    def fetched(table: DataFrame | None, value: str) -> tuple[np.ndarray, np.ndarray]:
-        if table is None:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        got = table.toArrow()
-        return got.column("key").to_numpy().view(np.uint64), got.column(value).to_numpy()
-
-    passes = None
-    for b in range(blocks):
-        of = lambda df: df.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)  # noqa: B023, E731
-        tables = spark.sparkContext.broadcast((fetched(grams and of(grams), "logp"), fetched(of(counted.where("kind = 1").select("key", "n")), "n")))
-        part = rows.mapInArrow(_partial(tables, denominator), "doc_id long, h long, held_out boolean, words long, known long, base double, score double")
-        if blocks > 1:
-            part = part.dropDuplicates(["doc_id", "h"]).withColumn("block", F.lit(b))
-        passes = part if passes is None else passes.union(part)
-    if blocks > 1:
-        summed = passes.groupBy("doc_id", "h").agg(F.first("words").alias("words"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-        a, b = rows.select("doc_id", "h", "held_out").alias("a"), summed.alias("b")
-        passes = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))).select("a.doc_id", "a.held_out", "words", "known", "base", "score")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    chunks = max(2 * spark.sparkContext.defaultParallelism, ceil(min(size, 1 << 50) / chunk))
+    rows = pick(docs, doc_id="long", text="string")
+    # a chunk is what some of the tasks read; writing the documents with it makes it fast
+    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.pmod(F.spark_partition_id(), F.lit(chunks)).cast("int").alias("chunk"))
+    name = f"orrery_lm_{uuid.uuid4().hex}"
+    rows.write.option("path", scratch.path("docs")).option("compression", "snappy").bucketBy(min(chunks, parts), "chunk").saveAsTable(name)
+    scratch.saved.add("docs")
+    try:
+        dealt = spark.table(name)
+        counted = dealt.select("chunk", "held_out", "text").mapInArrow(_count, "chunk int, key long, n long")
+        asked = scratch.save(counted.repartition(parts, "key").groupBy("key", "chunk").agg(F.sum("n").alias("n")), "asked")
+        counts = scratch.save(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+        ends = dealt.where(~F.col("held_out")).count()
+        total = counts.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
+        n, v = (total["n"] or 0) + ends, total["distinct"] + (ends > 0)
+        denominator = n + 0.1 * (v + 1)
+        values = model(counts.where("key >= 0"), scratch).union(counts.where("key < 0").select("key", F.col("n").cast("double")))
+        values = scratch.save(values, "values")
+        answers = asked.select("key", "chunk").join(values, "key")
+        schema = "doc_id long, held_out boolean, words long, known long, base double, score double"
+        found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_chunk_scores(denominator), schema)
+        found = scratch.save(found, "scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    scratch.keep("scores")
     of_end, of_new = log10((ends + 0.1) / denominator), log10(0.1 / denominator)
-    return passes.select(
+    return found.select(
         "doc_id",
         "held_out",
         (F.col("words") + 1).alias("n_tokens"),

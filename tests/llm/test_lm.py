@@ -92,10 +92,11 @@ def rows_of():
     return rows + [(900, None, None, None, None), (901, "", "en", "s", 0), (None, "null id", "en", "s", 1), (3, rows[3][1], "en", "s", 1)]
 
 
-@pytest.mark.parametrize("block", [lm.BLOCK, 150])
-def test_against_plain_context_trees(spark, block):
+@pytest.mark.parametrize("parts, rows_at_once", [(4, lm.ROWS), (13, 40)])
+def test_against_plain_context_trees(spark, monkeypatch, parts, rows_at_once):
+    monkeypatch.setattr(lm, "ROWS", rows_at_once)
     rows = rows_of()
-    found = lm.score(documents(spark, [(*r, 1) for r in rows], ", score int"), block).collect()
+    found = lm.score(documents(spark, [(*r, 1) for r in rows], ", score int").repartition(parts)).collect()
     want = sorted(expected(rows), key=str)
     for a, b in zip(sorted((tuple(r) for r in found), key=str), want, strict=True):
         assert a[:5] == b[:5]
@@ -116,3 +117,29 @@ def test_large_counts():
     a, b = np.array([0.0, 5.0, 70000.0, 3e9]), np.array([0.0, 90000.0, 2.0, 4e8])
     exact = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a, b)]
     assert np.allclose(lm._kt(a, b), exact, rtol=1e-9)
+
+
+def test_a_very_long_text_and_words_of_held_out_texts(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(1001, "ab " * 700_000, "en", "s", 1), (1002, "new words", "en", "s", 1), (held, "unheard ab", "en", "s", 1)]
+    found = {r.doc_id: r for r in lm.score(documents(spark, rows)).collect()}
+    assert found[1001].n_tokens == 700_001 and 0 > found[1001].score > -60_000
+    assert (found[held].n_tokens, found[held].n_known) == (3, 2)
+
+
+def test_documents_are_dealt_once_and_no_model_reaches_the_driver(spark, monkeypatch):
+    """Documents meet the answers where they were written, without an exchange."""
+    plans = []
+    real = lm.Scratch.save
+
+    def save(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, df, name)
+
+    monkeypatch.setattr(lm.Scratch, "save", save)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)
+    monkeypatch.setattr("pyspark.sql.DataFrame.collect", None)
+    lm.score(documents(spark, [(i, f"text {i}", "en", "s", 1) for i in range(50)]).repartition(3))
+    plan = dict(plans)["scores"]
+    left = plan[plan.index("CoGroup") : plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin")]
+    assert left.count("Exchange hashpartitioning(chunk") == 1  # the answers'
