@@ -1,4 +1,4 @@
-"""python -m orrery create|import|run|shell|tables|branches|branch|switch|merge|log FOLDER ..."""
+"""python -m orrery create|import|run|shell|tables|branches|branch|switch|merge|log|gc|verify|stats|about FOLDER ..."""
 
 from __future__ import annotations
 
@@ -20,12 +20,14 @@ def spark_session() -> SparkSession:
 def main(args: list[str] | None = None, spark: SparkSession | None = None, lines=None, out=print) -> int:
     parser = argparse.ArgumentParser(prog="orrery", description=__doc__)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, extra in {"create": (), "run": ("statement",), "shell": (), "tables": (), "branches": (), "branch": ("name",), "switch": ("name",), "merge": ("name",), "log": ()}.items():
+    for verb, extra in {"create": (), "run": ("statement",), "shell": (), "tables": (), "branches": (), "branch": ("name",), "switch": ("name",), "merge": ("name",), "log": (), "gc": (), "verify": (), "stats": (), "about": ()}.items():
         p = verbs.add_parser(verb)
         p.add_argument("folder")
         for name in extra:
             p.add_argument(name)
         p.add_argument("--sql", action="store_true")
+        if verb == "gc":
+            p.add_argument("--keep", type=int, default=1)
         if verb == "branch":
             p.add_argument("--at", type=int)
     p = verbs.add_parser("import")
@@ -47,6 +49,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
                 out(line)
             return 0
         db = Database.open(spark, a.folder)
+        if a.verb == "verify":
+            for line in (wrong := db.verify()) or ["ok"]:
+                out(line)
+            return int(bool(wrong))
+        if a.verb in ("stats", "about"):
+            told = {"branch": db.branch(), "head": db.head()} if a.verb == "about" else {}
+            for k, v in {**told, **db.stats()}.items():
+                out(f"{k} {v}")
+            return 0
         if a.verb == "shell":
             failed = 0
             for line in sys.stdin if lines is None else lines:
@@ -60,6 +71,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
             "tables": "show tables",
             "branches": "show branches",
             "log": "log",
+            "gc": f"gc keep {getattr(a, 'keep', 1)}",
             "branch": f"branch {getattr(a, 'name', '')}" + (f" at {a.at}" if getattr(a, "at", None) is not None else ""),
         }.get(a.verb, f"{a.verb} {getattr(a, 'name', '')}")
         run = db.execute_sql if a.sql else db.execute

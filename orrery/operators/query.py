@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import PlanError
-from ..functions.lower import Lowered, Lowering, held_to, negative_zero
+from ..functions.lower import SPARK, Lowered, Lowering, float_equal, held_to, negative_zero
 from ..plans.access import access, conjuncts
 from ..plans.ast import Expr, Get, Ref
 from ..store import Table
@@ -101,6 +101,53 @@ def _any_raises(lowering: Lowering, e: Expr) -> bool:
     return lowering.truth(e).raises
 
 
+def lookup(spark: SparkSession, table: Table, read: Callable[[Table], DataFrame], values: DataFrame | list, column: str | None) -> DataFrame:
+    """Rows of ``table`` whose key or ``column`` is among ``values``: one join, of which Catalyst
+    broadcasts the values if they are few."""
+    if column is not None and table.column(column) is None:
+        raise PlanError(f"table '{table.name}' has no column '{column}'")
+    by = list(table.keys) if column is None else [table.column(column)]
+    kinds = [SPARK[c.type] for c in by]
+    if isinstance(values, list):
+        rows = [v if isinstance(v, tuple) else (v,) for v in values]
+        values = spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r) for r in rows], ", ".join(f"v{i} {k}" for i, k in enumerate(kinds)))
+    wanted = values.toDF(*[f"v{i}" for i in range(len(by))]).distinct().select(*[F.col(f"v{i}").cast(k).alias(f"v{i}") for i, k in enumerate(kinds)])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        x, y = F.col(f"t.{c.name}"), F.col(f"w.v{i}")
+        on = on & (float_equal(x, y, False) if c.type == "float" else x == y)
+    return read(table).alias("t").join(wanted.alias("w"), on, "left_semi").select(*[F.col(f"t.{c.name}") for c in table.columns])
+
+
+def key_range(table: Table, read: Callable[[Table], DataFrame], start: tuple | None, end: tuple | None) -> DataFrame:
+    """Rows of keys in [start, end), in the order of the key."""
+
+    def below(bound: tuple):
+        """Whether a key comes before ``bound``; its first column and where that is bounded."""
+        parts, equal = [], F.lit(True)
+        for c, v in zip(table.keys, bound, strict=False):
+            x, y = F.col(c.name), F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(SPARK[c.type])
+            less = (x < y) | ((x == y) & negative_zero(x) & ~negative_zero(y)) if c.type == "float" else x < y
+            parts.append(equal & less)
+            equal = equal & held_to(x, c.type, v)
+        out = F.lit(False)
+        for p in parts:
+            out = out | p
+        first = table.keys[0]
+        edge = F.lit(bytearray(bound[0]) if isinstance(bound[0], bytes) else bound[0]).cast(SPARK[first.type])
+        return out, F.col(first.name), edge
+
+    df = read(table)
+    if start:
+        out, x, edge = below(start)
+        df = df.where((x >= edge) & ~out)  # the first condition is what the scan uses
+    if end:
+        out, x, edge = below(end)
+        df = df.where((x <= edge) & out)
+    order = [o for c in table.keys for o in (F.col(c.name), *([~negative_zero(F.col(c.name))] if c.type == "float" else []))]
+    return df.select(*[c.name for c in table.columns]).orderBy(*order)
+
+
 def build(get: Get, table_of: Callable[[str], Table], read: Callable[[Table], DataFrame]) -> Query:
     base = table_of(get.table)
     scope = Scope([base], set())

@@ -92,6 +92,31 @@ def _existing(spark: SparkSession, store: Store, table: Table, keys: list[tuple]
 
 def put_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> tuple[Table, int]:
     """All rows of a DataFrame: they are written once, checked where they are, then published."""
+    part, fresh = _staged(spark, store, table, df)
+    if table.parts:
+        own, keys = identity(table.keys), [c.name for c in table.keys]
+        mine, theirs = fresh.select(*own), read(spark, store, table).select(*own)
+        if (bad := mine.join(theirs, mine.columns, "left_semi").select(*keys).orderBy(*keys).first()) is not None:
+            raise _duplicate(tuple(bad), table)
+    return Table(table.name, table.columns, (*table.parts, part)), fresh.count()
+
+
+def upsert_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> tuple[Table, int]:
+    """All rows of a DataFrame, in the place of those of the same keys."""
+    part, fresh = _staged(spark, store, table, df)
+    parts = (part,)
+    if table.parts:
+        own, old = identity(table.keys), read(spark, store, table)
+        new = fresh.select(*own).toDF(*[f"new {i}" for i in range(len(own))])
+        same = F.lit(True)
+        for i, x in enumerate(own):
+            same = same & (x == F.col(f"`new {i}`"))
+        parts = (_write(old.join(new, same, "left_anti"), store), part)
+    return Table(table.name, table.columns, parts), fresh.count()
+
+
+def _staged(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> tuple[str, DataFrame]:
+    """The rows of ``df`` as the table takes them, written; no two of them have one key."""
     for name in df.columns:
         if table.column(name) is None:
             raise PlanError(f"table '{table.name}' has no column '{name}'")
@@ -114,14 +139,10 @@ def put_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) ->
     part = _write(df.select(*columns).sortWithinPartitions(*keys), store)
     added = Table(table.name, table.columns, (part,))
     fresh = read(spark, store, added)
-    own = identity(table.keys)
-    twice = fresh.groupBy(*own).count().where("count > 1").select(*keys)
-    if table.parts:
-        mine, theirs = fresh.select(*own), read(spark, store, table).select(*own)
-        twice = twice.union(mine.join(theirs, mine.columns, "left_semi").select(*keys))
+    twice = fresh.groupBy(*identity(table.keys)).count().where("count > 1").select(*keys)
     if (bad := twice.orderBy(*keys).first()) is not None:
         raise _duplicate(tuple(bad), table)
-    return Table(table.name, table.columns, (*table.parts, part)), fresh.count()
+    return part, fresh
 
 
 def set_rows(spark: SparkSession, store: Store, table: Table, s: Set) -> tuple[Table, int]:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .errors import EngineError, ExecError, PlanError
+from .errors import EngineError, ExecError, PlanError, StorageError
 from .functions.lower import identity
 from .operators import query, write
 from .plans import native, pretty, sql
 from .plans.access import explain
 from .plans.ast import CreateIndex, CreateTable, Del, DropTable, Explain, Get, Put, Set, Simple, Statement
-from .store import Store, Table, check_table
+from .shared import mounted
+from .store import LOST, Store, Table, check_table
 
 NO_TXN, IN_TXN = "no transaction is open", "a transaction is already open; commit or rollback first"
 ALONE = "branch and history statements cannot run inside a transaction; commit or rollback first"
 #: Settings under which the engine's arithmetic and names hold.
 SETTINGS = {"spark.sql.ansi.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC"}
+#: Seconds for which a statement outside a transaction is tried again if another writer was faster.
+BUSY_S = 5.0
+#: Rows and bytes of a batch of rows.
+BATCH_ROWS, BATCH_BYTES = 65_536, 16 << 20
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings and the engine's; the caller's stays as it is."""
+    out = spark.newSession()
+    for k, v in {**spark.conf.getAll, **SETTINGS}.items():
+        if spark.conf.isModifiable(k):
+            out.conf.set(k, v)
+    return out
 
 
 @dataclass
@@ -40,6 +55,20 @@ class Outcome:
         with translated():
             return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in self.query.ordered().collect()]
 
+    def batches(self, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[list[tuple]]:
+        """Rows in their order, in lists of at most ``rows`` rows and about ``size`` bytes; the
+        driver holds one of Spark's partitions at a time."""
+        out, bytes_ = [], 0
+        with translated():
+            for r in self.query.ordered().toLocalIterator():
+                out.append(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r))
+                bytes_ += sum(len(v.encode()) if isinstance(v, str) else len(v) if isinstance(v, bytearray) else 8 for v in r)
+                if len(out) >= rows or bytes_ >= size:
+                    yield out
+                    out, bytes_ = [], 0
+        if out:
+            yield out
+
     def render(self) -> list[str]:
         if self.query is not None:
             return ["|".join(v if isinstance(v, str) else pretty.value(v) for v in r) for r in self.collect()]
@@ -68,11 +97,9 @@ def translated():
 
 class Session:
     def __init__(self, spark: SparkSession, store: Store, external: dict[str, tuple[Table, DataFrame]] | None = None):
-        self.spark, self.store, self.external = spark, store, {} if external is None else external
+        self.spark, self.store, self.external = own_session(spark), store, {} if external is None else external
         self.pending: dict[str, Table] | None = None
         self.base = 0
-        for k, v in SETTINGS.items():
-            spark.conf.set(k, v)
 
     # statements
 
@@ -98,13 +125,28 @@ class Session:
             return Outcome(lines=explain(s.of, self._table))
         if isinstance(s, Get):
             return self._get(s)
-        with translated():
-            tables, outcome = self._change(dict(self.tables()), s)
-        if self.in_transaction:
-            self.pending = tables
-        elif tables != self.tables():
-            self.store.publish(self.store.meta["txid"], tables)
-        return outcome
+        return self._commit(lambda tables: self._change(tables, s))
+
+    def _commit(self, change):
+        """Apply ``change`` to the tables: to those of the open transaction, or as a commit of its
+        own, which is tried again for ``BUSY_S`` if another writer was faster."""
+        until = time.monotonic() + BUSY_S
+        while True:
+            if not self.in_transaction:
+                self.store.reload()
+            with translated():
+                tables, outcome = change(dict(self.tables()))
+            if self.in_transaction:
+                self.pending = tables
+                return outcome
+            if tables == self.tables():
+                return outcome
+            try:
+                self.store.publish(self.store.meta["txid"], tables)
+                return outcome
+            except StorageError as e:
+                if LOST not in str(e) or time.monotonic() > until:
+                    raise
 
     def _table(self, name: str, tables: dict[str, Table] | None = None) -> Table:
         found = (self.tables() if tables is None else tables).get(name)
@@ -152,16 +194,35 @@ class Session:
 
     def insert(self, table: str, rows: DataFrame) -> int:
         """Put all rows of a DataFrame as one statement."""
+        return self._put(table, lambda old: write.put_frame(self.spark, self.store, old, rows))
+
+    def upsert(self, table: str, rows: DataFrame) -> int:
+        """Put all rows of a DataFrame; a row whose key is there takes the place of the old one."""
+        return self._put(table, lambda old: write.upsert_frame(self.spark, self.store, old, rows))
+
+    def _put(self, name: str, put) -> int:
+        def change(tables: dict[str, Table]):
+            tables[name], n = put(self._table(name, tables))
+            return tables, n
+
+        return self._commit(change)
+
+    def lookup(self, table: str, values: DataFrame | list, column: str | None = None) -> DataFrame:
+        """The rows whose key, or whose ``column``, is one of ``values``, in one plan.
+
+        ``values`` is a DataFrame of one column for each key column, or a list of values, or of
+        tuples for a key of several columns.  A value that doesn't occur has no row.
+        """
         if not self.in_transaction:
             self.store.reload()
-        tables = dict(self.tables())
-        with translated():
-            tables[table], n = write.put_frame(self.spark, self.store, self._table(table, tables), rows)
-        if self.in_transaction:
-            self.pending = tables
-        else:
-            self.store.publish(self.store.meta["txid"], tables)
-        return n
+        return query.lookup(self.spark, self._table(table), self.read, values, column)
+
+    def key_range(self, table: str, start: tuple | None = None, end: tuple | None = None) -> DataFrame:
+        """Rows from key ``start`` up to, and without, key ``end``, in the order of the key; None
+        is no bound, and a tuple may leave out the last columns of a key."""
+        if not self.in_transaction:
+            self.store.reload()
+        return query.key_range(self._table(table), self.read, start, end)
 
     def _simple(self, s: Simple) -> Outcome:
         if s.verb == "show tables":
@@ -250,6 +311,7 @@ class Database:
     def __init__(self, spark: SparkSession, store: Store):
         self.session = Session(spark, store)
         self.execute, self.execute_sql, self.insert_all = self.session.execute, self.session.execute_sql, self.session.insert
+        self.upsert_all, self.lookup, self.key_range = self.session.upsert, self.session.lookup, self.session.key_range
         self.execute_batch, self.verify = self.session.batch, self.session.verify
 
     @classmethod
@@ -262,7 +324,7 @@ class Database:
 
     @classmethod
     def in_memory(cls, spark: SparkSession) -> "Database":
-        return cls(spark, Store.create(tempfile.mkdtemp(prefix="orrery-")))
+        return cls(spark, Store.create(mounted(spark, "orrery")))
 
     def query(self, text: str) -> DataFrame:
         return self.execute(text).query.ordered()

@@ -16,10 +16,21 @@ EXACT = 1 << 53
 
 def connect(path: str) -> sqlite3.Connection:
     con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    con.text_factory = lambda b: b.decode("utf-8", "replace")
+    con.text_factory = _text
     return con
 
 
+class BadText(bytes):
+    """Stored text that is not UTF-8."""
+
+
+def _text(b: bytes) -> str | BadText:
+    try:
+        return b.decode()
+    except UnicodeDecodeError:
+        return BadText(b)
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -44,6 +55,8 @@ def converted(v, kind: str, where: str):
     """A stored value as the planned type."""
     if v is None:
         return None
+    if isinstance(v, BadText):
+        raise ValueError(f"{where}: a text is not UTF-8")
     if kind == "int" and type(v) is int:
         return v
     if kind == "float" and (type(v) is float or type(v) is int and abs(v) <= EXACT):
@@ -91,7 +104,7 @@ class _Reader(DataSourceReader):
         counts = [[0] * 7 for _ in self.columns]
         for row in self.rows(part, [c for c, _ in self.columns]):
             for c, v, (_, affinity) in zip(counts, row, self.columns, strict=True):
-                kind = 0 if v is None else 1 if type(v) is int and affinity != "real" else 2 if isinstance(v, (int, float)) else 3 if isinstance(v, str) else 4
+                kind = 0 if v is None else 1 if type(v) is int and affinity != "real" else 2 if isinstance(v, (int, float)) else 3 if isinstance(v, (str, BadText)) else 4
                 c[kind] += 1
                 if kind == 1:
                     c[5] = max(c[5], min(abs(v), (1 << 63) - 1))

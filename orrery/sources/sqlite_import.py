@@ -59,7 +59,7 @@ def names_for(names: list[str]) -> list[str]:
     for name in names:
         base = re.sub(r"[^A-Za-z0-9_]", "_", name) or "_"
         base = f"_{base}" if base[0].isdigit() else base
-        base = f"{base}_" if base in ("not", "and", "or") else base
+        base = f"{base}_" if base.lower() in ("not", "and", "or") else base
         found, n = base, 2
         while found.lower() in seen:
             found, n = f"{base}_{n}", n + 1
@@ -159,6 +159,11 @@ def plan(spark: SparkSession, path: str, strict: bool = False) -> list[TablePlan
                     notes.append(f"index '{index}' is not carried over (one plain column is)")
                 if unique and origin in ("c", "u"):
                     notes.append(f"unique constraint '{index}' is not carried over")
+            text = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\[[^\]]*\]|`[^`]*`|--[^\n]*|/\*.*?\*/", "''", con.execute("SELECT sql FROM sqlite_master WHERE name = ? AND type = 'table'", (table,)).fetchone()[0], flags=re.S)
+            if re.search(r"\bCHECK\s*\(", text, re.I):
+                notes.append("check constraints are not carried over")
+            if re.search(r"\bCOLLATE\b", text, re.I):
+                notes.append("collations are not carried over; texts are compared byte by byte")
             if con.execute(f"PRAGMA foreign_key_list({quoted(table)})").fetchone():
                 notes.append("foreign keys are not carried over")
         stored = [r for r in declared if r[5] != 2]

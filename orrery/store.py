@@ -91,13 +91,20 @@ def check_table(name: str, columns: tuple[Column, ...]) -> None:
         raise PlanError(f"table '{name}' needs at least one @key column")
 
 
-def _numbers(states: Path) -> list[int]:
+def numbers(states: Path) -> list[int]:
     try:
         return [int(f.name[:-5]) for f in os.scandir(states) if f.name[:-5].isdigit() and f.name.endswith(".json")]
     except FileNotFoundError:
         return []
 
 
+def state_of(states: Path, id: int) -> dict:
+    try:
+        return json.loads((states / f"{id}.json").read_text())
+    except FileNotFoundError:
+        return {"commit": None}
+
+
 def _written(folder: Path, body: dict) -> str:
     """A file of its own name with ``body``, on the disk."""
     fd, name = tempfile.mkstemp(dir=folder, suffix=".new")
@@ -108,7 +115,7 @@ def _written(folder: Path, body: dict) -> str:
     return name
 
 
-def _claim(states: Path, state: dict) -> bool:
+def claim(states: Path, state: dict) -> bool:
     """Create the state's file whole, if nobody has; the one step that commits."""
     name = _written(states, state)
     try:
@@ -135,27 +142,24 @@ class Store:
         for name in ("states", "data"):
             (path / name).mkdir(parents=True, exist_ok=True)
         first = {"txid": 0, "current": "main", "refs": {"main": {"head": 0, "floor": 0}}, "commit": None}
-        if _numbers(path / "states") or not _claim(path / "states", first):
+        if numbers(path / "states") or not claim(path / "states", first):
             raise StorageError("the database exists already")
         return cls(folder)
 
     def reload(self) -> None:
         """See the newest state."""
-        numbers = _numbers(self.folder / "states")
-        if not numbers:
+        found = numbers(self.folder / "states")
+        if not found:
             raise StorageError(f"no database in {self.folder}")
-        state = self._state(max(numbers))
+        state = self._state(max(found))
         self.meta = {k: state[k] for k in ("txid", "current", "refs")}
 
     def _state(self, id: int) -> dict:
-        try:
-            return json.loads((self.folder / "states" / f"{id}.json").read_text())
-        except FileNotFoundError:
-            return {"commit": None}
+        return state_of(self.folder / "states", id)
 
     def _advance(self, meta: dict, commit: dict | None = None) -> bool:
         """Make ``meta`` the next state; False if another writer made one first."""
-        made = _claim(self.folder / "states", meta | {"commit": commit})
+        made = claim(self.folder / "states", meta | {"commit": commit})
         if made:
             self.meta = meta
         return made
@@ -310,7 +314,7 @@ class Store:
         live, now, freed = named(kept), time.time(), 0
         dead = named(gone) - live
         states = self.folder / "states"
-        for id in _numbers(states):
+        for id in numbers(states):
             if id in kept or id >= self.meta["txid"]:
                 continue
             path = states / f"{id}.json"

@@ -86,6 +86,54 @@ def test_blobs(spark, tmp_path):
     assert state() == {"unclaimed": total - 2}
     with pytest.raises(EngineError):
         blobs.release(names(3))
+    for bad, message in (([(1, b"x")], "blob 1 exists already"), ([(9, b"x"), (9, b"y")], "blob 9 is written twice"), ([(9, None)], "blob 9 has no bytes"), ([(None, b"x")], "no name")):
+        with pytest.raises(EngineError, match=message):
+            blobs.write(spark.createDataFrame(bad, "name long, bytes binary"))
+    with pytest.raises(EngineError, match="no blob 77"):
+        blobs.retain(names(77))
+    assert blobs.blobs().count() == 4
+
+
+def test_releases_that_race(spark, tmp_path):
+    one, two = (Blobs(spark, str(tmp_path / "b")) for _ in range(2))
+    one.write(spark.createDataFrame([(1, b"abc")], "name long, bytes binary"))
+    name = spark.createDataFrame([(1,)], "name long")
+    one.retain(name)
+    real, calls = one._part, []
+
+    def part(df):
+        if not calls:
+            calls.append(two.release(name))
+        return real(df)
+
+    one._part = part
+    with pytest.raises(EngineError, match="more often than it was retained"):
+        one.release(name)
+    assert two.check().collect() == [] and two.sweep() == 0
+
+
+def test_text_that_is_not_utf8_and_other_encodings(spark, tmp_path):
+    path = str(tmp_path / "bad.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT COLLATE NOCASE, n INT CHECK (n > 0))")
+    con.execute("INSERT INTO t VALUES (1, CAST(x'ff41' AS TEXT), 1)")
+    con.commit()
+    con.close()
+    with pytest.raises(Exception, match="a text is not UTF-8"):
+        si.import_file(Database.in_memory(spark), path)
+    notes = si.import_file(Database.in_memory(spark), path, dry_run=True)
+    assert "  note: check constraints are not carried over" in notes and any("collations" in x for x in notes)
+    path = str(tmp_path / "wide.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("PRAGMA encoding = 'UTF-16le'")
+    con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT)")
+    con.execute("INSERT INTO t VALUES (1, 'zoë 𝄞')")
+    con.commit()
+    con.close()
+    db = Database.in_memory(spark)
+    si.import_file(db, path)
+    assert db.execute("get t").collect() == [(1, "zoë 𝄞")]
+    assert si.names_for(["Or", "NOT", "and"]) == ["Or_", "NOT_", "and_"]
 
 
 def test_commands(spark, source, tmp_path):
@@ -97,6 +145,7 @@ def test_commands(spark, source, tmp_path):
     assert run("shell", folder, lines=["# note", "put t { id: 2 }", "get t", "nonsense"]) == 1
     assert run("branch", folder, "b", "--at", 1) == 0 and run("switch", folder, "b") == 0 and run("branches", folder) == 0 and run("log", folder) == 0 and run("tables", folder) == 0
     assert out[-3:] == ["  main @3", "commit 1 parent 0", "t"] and "error: parse error at byte 0: 'nonsense' is not a statement" in "\n".join(out)
+    assert run("verify", folder) == 0 and out[-1] == "ok" and run("about", folder) == 0 and run("gc", folder, "--keep", 5) == 0 and out[-1].startswith("gc pruned 0")
     assert run("merge", folder, "main") == 0 and out[-1].startswith("merged main, head is now commit")
     assert run("import", source, tmp_path / "imported") == 0
     assert Database.open(spark, str(tmp_path / "imported")).execute("get nokey { a }").collect() == [(1,), (None,)]

@@ -20,7 +20,7 @@ def made(tmp_path):
     return f"{tmp_path}/db"
 
 
-@pytest.mark.parametrize("step", ["_written", "_claim", "link", "unlink"])
+@pytest.mark.parametrize("step", ["_written", "claim", "link", "unlink"])
 def test_one_of_two_commits_wins_at_every_step(tmp_path, monkeypatch, step):
     folder = made(tmp_path)
     first, second = Store(folder), Store(folder)
