@@ -3,8 +3,8 @@
 A text is its lines, split at line feeds; a line's ID is the 128-bit XXH3 of its bytes.  Suffixes
 of the stretches of repeated lines are ranked by their first 2^k lines, doubling k: a rank at
 k+1 is the place of the pair (rank at i, rank at i + 2^k) in a distributed sort of the distinct
-pairs.  The doubling ends when it tells no more suffixes apart; the last ranks order the suffix
-array.  The longest common prefix of two neighbours comes from the ranks too: from the deepest
+pairs.  The doubling ends when it tells no more suffixes apart, or at the length of the longest
+window (below), up to which prefixes matter; the last ranks order the suffix array.  The longest common prefix of two neighbours comes from the ranks too: from the deepest
 that they share on, each lower depth adds its lines where the ranks behind the common lines are
 equal.  Lines that occur once are in no repeated run and end a stretch.
 
@@ -130,8 +130,7 @@ def _places(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
 
 def _ranked(scratch: Scratch, pairs: DataFrame, k: int) -> tuple[DataFrame, int]:
     """(ord, idx, r) of all (ord, idx, a, b), and the number of different r, which have the order of (a, b)."""
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = pairs.select("a", "b").distinct().repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b")
+    classes = pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
     ordered = scratch.save(classes.withColumn("r", F.monotonically_increasing_id()), f"classes{k}")
     ranks = scratch.save(pairs.join(ordered, ["a", "b"]).select("ord", "idx", "r"), f"ranks{k}")
     number = ordered.count()
@@ -139,35 +138,34 @@ def _ranked(scratch: Scratch, pairs: DataFrame, k: int) -> tuple[DataFrame, int]
     return ranks, number
 
 
-def _doubled(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Ranks (ord, idx, r) by the first 1, 2, 4, ... lines of a stretch, up to those that tell
-    apart all that longer ones do."""
+def _doubled(places: DataFrame, scratch: Scratch, longest: int | None = None) -> list[DataFrame]:
+    """Ranks (ord, idx, r) by the first 1, 2, 4, ... lines of a stretch, up to those of
+    ``longest`` lines or those that tell apart all that longer ones do."""
     pairs = places.select("ord", "idx", F.col("id").alias("a"), F.col("more").alias("b"))
     ranks, number = _ranked(scratch, pairs, 0)
     found = [ranks]
-    while number:
+    while number and not (longest and 1 << (len(found) - 1) >= longest):
         reach = 1 << (len(found) - 1)
         ahead = F.first("r").over(W.partitionBy("ord").orderBy("idx").rangeBetween(reach, reach))
         pairs = found[-1].select("ord", "idx", F.col("r").alias("a"), F.coalesce(ahead, F.lit(-1)).alias("b"))  # -1: the stretch has ended
         ranks, finer = _ranked(scratch, scratch.save(pairs, f"pairs{len(found)}"), len(found))
         if finer == number:
-            return found
+            break
         found.append(ranks)
         number = finer
-    return []
+    return found if number else []
 
 
 def _array(places: DataFrame, ranks: list[DataFrame], scratch: Scratch) -> DataFrame:
     """The suffix array (p, ord, idx, spans, lcp) of the places where a window starts, ascending
     in p; lcp is the number of lines that an entry shares with the one before it."""
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     every = ranks[0].withColumn("k", F.lit(0))
     for k, df in enumerate(ranks[1:], 1):
         every = every.union(df.withColumn("k", F.lit(k)))
     paths = every.groupBy("ord", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("path")).select("ord", "idx", F.col("path.r").alias("path"))
     starts = places.where(F.size("spans") > 0).select("ord", "idx", "left", "spans").join(paths, ["ord", "idx"])
     starts = scratch.save(starts.withColumn("r", F.element_at("path", -1)), "starts")
-    array = starts.repartitionByRange(n, "r", "ord", "idx").sortWithinPartitions("r", "ord", "idx").withColumn("p", F.monotonically_increasing_id())
+    array = starts.repartitionByRange("r", "ord", "idx").sortWithinPartitions("r", "ord", "idx").withColumn("p", F.monotonically_increasing_id())
     array = scratch.save(array, "array")
     ends = array.groupBy(F.shiftright("p", 33).alias("part")).agg(F.min("p").alias("first"), F.max("p").alias("last")).orderBy("part").collect()  # a row of a partition
     jumps = F.create_map(*[x for a, b in zip(ends, ends[1:], strict=False) for x in (F.lit(b["first"]), F.lit(a["last"]))]) if len(ends) > 1 else None
@@ -241,8 +239,7 @@ def _intervals(array: DataFrame, scratch: Scratch) -> DataFrame:
     The driver gets of each part of the array its entries of smaller lcp than all after, at most
     one for each length of a common prefix.
     """
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = array.select(F.shiftright("p", 33).alias("part"), "p", "lcp", "ord", "idx", "spans").repartition(n, "part").sortWithinPartitions("part", "p")
+    parted = array.select(F.shiftright("p", 33).alias("part"), "p", "lcp", "ord", "idx", "spans").repartition("part").sortWithinPartitions("part", "p")
     found = parted.select("part", "p", "lcp").mapInArrow(_minima, "part long, ps array<long>, lcps array<int>").orderBy("part").collect()
     carried, ps, lcps = {}, [], []
     for r in found:
@@ -273,7 +270,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _sequences(docs, scratch)
     places = _places(lines, min_words, scratch)
-    ranks = _doubled(places, scratch)
+    longest = places.select(F.max(F.array_max("spans"))).first()[0]
+    ranks = _doubled(places, scratch, longest) if longest else []
     if not ranks:
         return scratch.save(docs.sparkSession.createDataFrame([], "doc_id long, h long, keep array<boolean>"), "kept")
     named = _intervals(_array(places, ranks, scratch), scratch)
