@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from math import ceil, log10, pi
+from math import ceil, log10, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .rows import pick
 from .scratch import Scratch
@@ -39,6 +39,8 @@ from .vectors import _LOWER, Table, word_hashes
 DEPTH = 5
 #: Bytes of a chunk of documents as the table holds them, more or less.
 CHUNK = 48 << 20
+#: Buckets that chunks are dealt to, at most; a task reads a bucket, one chunk after the other.
+BUCKETS = 8192
 #: Keys after which a task merges what it has counted.
 MERGE = 2_000_000
 #: Rows of whole triples that are worked out at once.
@@ -80,7 +82,11 @@ class _Counter:
                 keys, n = np.unique(np.concatenate(own), return_counts=True)
                 self.parts.append((keys, n if flag else np.zeros(len(keys), np.int64)))
         self.raw, self.size = [], 0
-        if sum(len(k) for k, _ in self.parts) >= MERGE and len(self.parts) > 1:
+        if sum(len(k) for k, _ in self.parts) >= MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
             keys = np.concatenate([k for k, _ in self.parts])
             order = np.argsort(keys, kind="stable")
             keys, n = keys[order], np.concatenate([n for _, n in self.parts])[order]
@@ -89,6 +95,7 @@ class _Counter:
 
     def flush(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         self.fold()
+        self.merge()
         yield from self.parts
         self.parts = []
 
@@ -281,6 +288,17 @@ def _chunk_scores(denominator: float):
     return run
 
 
+def _labels(spark: SparkSession, chunks: int, buckets: int) -> DataFrame:
+    """(number, chunk): for each number of a chunk an integer that Spark deals to bucket
+    ``number`` modulo ``buckets``, so that buckets hold as many chunks each.  A row of 8 bytes
+    for each ``CHUNK`` of documents: this is what is broadcast."""
+    each = ceil(chunks / buckets)
+    tries = spark.range(int(buckets * (each + 4 * sqrt(each) + 20))).select(F.col("id").cast("int").alias("chunk"))
+    tries = tries.withColumn("bucket", F.pmod(F.hash("chunk"), F.lit(buckets)))
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy("chunk")) - 1
+    return tries.withColumn("number", F.col("bucket") + nth * buckets).where(F.col("number") < chunks).select("number", "chunk")
+
+
 def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of ``docs``.
 
@@ -293,12 +311,15 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    chunks = max(2 * spark.sparkContext.defaultParallelism, ceil(min(size, 1 << 50) / chunk))
+    # a table whose size Spark can't tell has a chunk for each partition of a shuffle
+    chunks = max(2 * spark.sparkContext.defaultParallelism, ceil(size / chunk) if size < 1 << 55 else parts)
     rows = pick(docs, doc_id="long", text="string")
-    # a chunk is what some of the tasks read; writing the documents with it makes it fast
-    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.pmod(F.spark_partition_id(), F.lit(chunks)).cast("int").alias("chunk"))
+    # a chunk is what some of the tasks read; writing the documents with it fixes it
+    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.pmod(F.spark_partition_id(), F.lit(chunks)).cast("int").alias("number"))
+    buckets = min(chunks, BUCKETS)
+    rows = rows.join(F.broadcast(_labels(spark, chunks, buckets)), "number").drop("number")
     name = f"orrery_lm_{uuid.uuid4().hex}"
-    rows.write.option("path", scratch.path("docs")).option("compression", "snappy").bucketBy(min(chunks, parts), "chunk").saveAsTable(name)
+    rows.write.option("path", scratch.path("docs")).option("compression", "snappy").bucketBy(buckets, "chunk").saveAsTable(name)
     scratch.saved.add("docs")
     try:
         dealt = spark.table(name)

@@ -143,3 +143,10 @@ def test_documents_are_dealt_once_and_no_model_reaches_the_driver(spark, monkeyp
     plan = dict(plans)["scores"]
     left = plan[plan.index("CoGroup") : plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin")]
     assert left.count("Exchange hashpartitioning(chunk") == 1  # the answers'
+
+
+def test_every_chunk_has_a_label_and_buckets_are_even(spark):
+    for chunks, buckets in ((1, 1), (12, 12), (1000, 16), (7, 3)):
+        found = lm._labels(spark, chunks, buckets).selectExpr("number", "chunk", f"pmod(hash(chunk), {buckets}) bucket").collect()
+        assert sorted(r.number for r in found) == list(range(chunks)) and len({r.chunk for r in found}) == chunks
+        assert all(r.bucket == r.number % buckets for r in found)
