@@ -29,6 +29,8 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 #: Decompressed bytes from which a frame is closed, and compressed bytes from which a bundle is.
 FRAME, BUNDLE = 1 << 18, 1 << 30
 PREFIX = "urn:orrery:page:"
+#: Headers of this operator's own: the page of a record, and the page that a revisit refers to.
+PAGE, REFERS = "Orrery-Page", "Orrery-Refers-To-Page"
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,25 +42,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<{PREFIX}{'none' if page_id is None else page_id}>"
+def _name(page_id: int | None, single: bool = True) -> str:
+    """A record's ID: the page's, or one of its own if several records have the page's or it has none."""
+    return f"<{PREFIX}{page_id}>" if single and page_id is not None else f"<{uuid.uuid4().urn}>"
 
 
-def _id(name: str) -> int | None:
-    found = name.strip("<>").removeprefix(PREFIX)
-    return None if found == "none" else int(found)
+def _id(head: dict[str, str], name: str) -> int | None:
+    return int(head[name]) if name in head else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, single: bool = True, single_to: bool = True) -> bytes:
+    """One WARC/1.1 record; a revisit has no payload.  ``single`` and ``single_to`` tell whether
+    the page, and the one referred to, have one record."""
     block = HTTP + (payload if kind == "response" else b"")
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": _name(page_id),
+        "WARC-Record-ID": _name(page_id, single),
+        **({} if page_id is None else {PAGE: str(page_id)}),
         "WARC-Date": DATE,
         "WARC-Target-URI": quote(url or "", safe=":/?#[]@!$&'()*+,;=%~-._", errors="replace"),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
-        **({} if kind == "response" else {"WARC-Profile": REVISIT, "WARC-Refers-To": _name(refers_to)}),
+        **({} if kind == "response" else {"WARC-Profile": REVISIT, REFERS: str(refers_to)}),
+        **({"WARC-Refers-To": _name(refers_to)} if kind != "response" and single_to else {}),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
@@ -137,7 +142,7 @@ def fetch(bundle: str, frame: int, record_at: int, record_bytes: int) -> tuple[d
     return next(parse(data[record_at : record_at + record_bytes]))
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) to bundles in ``folder``, a URI
     that all executors reach; returns the index of the records.
 
@@ -145,6 +150,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     page_id is a response and the others are revisits of it; smaller ones are responses.  A null
     html is the empty payload, a null url an empty one.  A null page_id is smaller than any
     other; where all are null, or rows repeat the largest page_id, each of them is a response.
+    Record IDs are unique: one page's row has the page's ID, rows that share a page_id or have
+    none get IDs of their own, and revisits of a shared page_id name the page only.
     A bundle belongs to one attempt of one task: the index names only bundles of attempts that
     ended, so a lost executor leaves at most files that nothing refers to.
     """
@@ -154,17 +161,23 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     groups = keyed.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
     # written first, so that the join is one of two plain exchanges, which can be split where
     # very many pages have one payload
-    groups = Scratch(pages.sparkSession, "warc-groups").save(groups, "groups")
-    joined = keyed.join(groups, "digest", "left").select(
-        "page_id", "url", "payload", F.when(large & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")
-    )
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
+    groups = scratch.save(groups, "groups")
+    shared = scratch.save(keyed.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1 and page_id is not null").select("page_id", F.lit(False).alias("single")), "shared")
+    single = single_to = F.lit(True)
+    if shared.limit(1).count():
+        keyed = keyed.join(shared, "page_id", "left")
+        groups = groups.join(shared.select(F.col("page_id").alias("keeper"), F.col("single").alias("single_to")), "keeper", "left")
+        single, single_to = (F.coalesce(c, F.lit(True)) for c in ("single", "single_to"))
+    refers_to = F.when(large & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    joined = keyed.join(groups, "digest", "left").select("page_id", "url", "payload", refers_to.alias("refers_to"), single.alias("single"), single_to.alias("single_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pafs.FileSystem.from_uri(folder)
         writer, uri = None, ""
         for batch in batches:
             rows = []
-            for page_id, url, body, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for page_id, url, body, refers_to, single, single_to in zip(*(batch.column(i) for i in range(6)), strict=True):
                 page_id, refers_to = page_id.as_py(), refers_to.as_py()
                 if writer is None or writer.at >= BUNDLE:
                     if writer is not None:
@@ -172,7 +185,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     writer, uri = BundleWriter(store.open_output_stream(f"{path}/{name}", compression=None)), f"{folder}/{name}"
                 kind = "response" if refers_to is None else "revisit"
-                data = record(page_id, url.as_py(), body.as_py(), kind, refers_to)
+                data = record(page_id, url.as_py(), body.as_py(), kind, refers_to, single.as_py(), single_to.as_py())
                 frame, frame_at, at = writer.add(data)
                 rows.append((page_id, kind, uri, frame, frame_at, at, len(data)))
             yield pa.record_batch(
@@ -206,8 +219,8 @@ def read(bundles: DataFrame) -> DataFrame:
                             kind, told = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                             if kind == "response" and digest(payload) != told:
                                 raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its digest")
-                            refers_to = _id(head["WARC-Refers-To"]) if kind == "revisit" else None
-                            rows.append((_id(head["WARC-Record-ID"]), kind, refers_to, told, len(payload) if kind == "response" else None))
+                            refers_to = _id(head, REFERS) if kind == "revisit" else None
+                            rows.append((_id(head, PAGE), kind, refers_to, told, len(payload) if kind == "response" else None))
                         yield pa.record_batch(
                             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)],
                             names=["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"],
@@ -222,9 +235,10 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     A revisit's payload_bytes are those of the response it refers to."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    index = scratch.save(write(pages, scratch.path("bundles"), min_bytes), "index")
+    index = scratch.save(write(pages, scratch.path("bundles"), min_bytes, scratch), "index")
     names = index.select("bundle").distinct()
     records = scratch.save(read(names.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "bundle")), "records")
+    scratch.keep("records")
     whole = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
     joined = records.join(whole, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("digest")), "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -25,11 +25,18 @@ def test_round_trip_and_random_access(spark):
     index = scratch.save(warc.write(pages, scratch.path("bundles")), "index").collect()
     assert len(index) == len(rows)
     html = {p: (h or "").encode() for p, _, h, _ in rows}
-    for x in index[::5]:
+    names = []
+    for x in index:
         head, payload = warc.fetch(x.bundle, x.frame, x.record_at, x.record_bytes)
-        assert head["WARC-Record-ID"] == warc._name(x.page_id) and head["WARC-Type"] == x.record_type
+        assert head.get(warc.PAGE) == (None if x.page_id is None else str(x.page_id)) and head["WARC-Type"] == x.record_type
+        names.append(head["WARC-Record-ID"])
+        if sum(r[0] == x.page_id for r in rows) == 1:
+            assert names[-1] == f"<urn:orrery:page:{x.page_id}>"
+        if x.record_type == "revisit":
+            assert head.get("WARC-Refers-To", f"<urn:orrery:page:{head[warc.REFERS]}>") == f"<urn:orrery:page:{head[warc.REFERS]}>"
         if x.record_type == "response" and x.page_id is not None:
             assert payload == html[x.page_id]
+    assert len(set(names)) == len(rows)
 
 
 def test_small_payloads_and_empty_table(spark):
