@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import ExecError, PlanError
@@ -20,9 +22,48 @@ def schema(table: Table) -> T.StructType:
     return T.StructType([T.StructField(c.name, TYPES[c.type], True) for c in table.columns])
 
 
-def read(spark: SparkSession, store: Store, table: Table) -> DataFrame:
+#: Bytes of files up to which a table's rows are held by the driver.
+SMALL = 1 << 20
+ARROW = {"int": pa.int64(), "float": pa.float64(), "text": pa.string(), "bytes": pa.binary(), "bool": pa.bool_()}
+
+
+def small(store: Store, table: Table) -> pa.Table | None:
+    """The rows of a table of at most ``SMALL`` bytes, None if it is larger.  Snapshots never
+    change, so each is read once."""
+    kinds, rows, size = pa.schema([(c.name, ARROW[c.type]) for c in table.columns]), [], 0
+    for part in table.parts:
+        if part not in store.sizes:
+            store.sizes[part] = store.part_bytes(part)
+        size += store.sizes[part]
+        if size > SMALL:
+            return None
+    for part in table.parts:
+        if part not in store.held:
+            store.held[part] = pq.read_table(store.part_folder(part))
+            while len(store.held) > HELD:
+                store.held.popitem(last=False)
+        rows.append(store.held[part].select(kinds.names).cast(kinds))
+    return pa.concat_tables(rows) if rows else kinds.empty_table()
+
+
+#: Snapshots and relations that are held at most.
+HELD = 256
+
+
+def read(spark: SparkSession, store: Store, table: Table, fresh: bool = False) -> DataFrame:
+    """A table's rows: a relation of the driver if they are few, which Catalyst filters without a
+    job and broadcasts by its size, or else the files.  ``fresh`` reads the files in any case."""
     if not table.parts:
         return spark.createDataFrame([], schema(table))
+    if not fresh:
+        key = id(spark), table.columns, table.parts
+        if key in store.relations:
+            return store.relations[key]
+        if (rows := small(store, table)) is not None:
+            found = store.relations[key] = spark.createDataFrame(rows, schema(table))
+            while len(store.relations) > HELD:
+                store.relations.popitem(last=False)
+            return found
     return spark.read.schema(schema(table)).parquet(*[store.part_path(p) for p in table.parts])
 
 
@@ -67,8 +108,9 @@ def put_rows(spark: SparkSession, store: Store, table: Table, put: Put) -> tuple
         if key in seen:
             raise _duplicate(keys[[_comparable(k) for k in keys].index(key)], table)
         seen.add(key)
-    df = spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r) for r in rows], schema(table)).coalesce(1)
-    return Table(table.name, table.columns, (*table.parts, _write(df, store))), len(rows)
+    kinds = pa.schema([(c.name, ARROW[c.type]) for c in table.columns])
+    part = store.write_part(pa.Table.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)], schema=kinds))
+    return Table(table.name, table.columns, (*table.parts, part)), len(rows)
 
 
 def _is_misfit(message: str) -> bool:
@@ -81,6 +123,8 @@ def _comparable(key: tuple) -> tuple:
 
 def _existing(spark: SparkSession, store: Store, table: Table, keys: list[tuple]) -> set[tuple]:
     """Those of a statement's keys that the table holds; the first key column is pushed into the scan."""
+    if (held := small(store, table)) is not None:
+        return set(map(_comparable, zip(*(held.column(c.name).to_pylist() for c in table.keys), strict=True)))
     first = table.keys[0]
     values = list({_comparable(k)[:1]: k[0] for k in keys}.values())
     df = read(spark, store, table).where(F.col(first.name).isin([bytearray(v) if isinstance(v, bytes) else v for v in values]))

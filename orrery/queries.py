@@ -446,8 +446,7 @@ def _(db, tables):
     filled(db, tables)
     assert db.verify() == []
     table = db.session.tables()["c"]
-    again = db.session.read(table)
-    again.write.mode("append").parquet(db.session.store.part_path(table.parts[0]))
+    db.session.spark.read.parquet(db.session.store.part_path(table.parts[0])).write.mode("append").parquet(db.session.store.part_path(table.parts[0]))
     return db.session.spark.createDataFrame([(x,) for x in db.verify()], "line string")
 
 

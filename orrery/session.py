@@ -287,7 +287,7 @@ class Session:
         wrong = []
         for name, table in sorted(self.tables().items()):
             fixed = [c.name for c in table.columns if not c.nullable]
-            rows = self.read(table)
+            rows = write.read(self.spark, self.store, table, fresh=True)
             nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fixed]).first().asDict()
             wrong += [f"table '{name}': {n} nulls in column '{c}'" for c, n in nulls.items() if n]
             if n := rows.groupBy(*identity(table.keys)).count().where("count > 1").count():

@@ -107,6 +107,8 @@ class TablePlan:
 
 
 def _source(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+    # Spark registers a data source with the active session, whichever is asked
+    SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
     spark.dataSource.register(SqliteFile)
     reader = spark.read.format("sqlite_file").option("path", path).option("table", table)
     for k, v in options.items():

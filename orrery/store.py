@@ -20,10 +20,14 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from .errors import PlanError, StorageError
 from .plans.ast import Column, Literal
 
@@ -134,6 +138,8 @@ def _replace(path: Path, body: dict) -> None:
 class Store:
     def __init__(self, folder: str):
         self.folder = Path(folder).absolute()
+        #: Of snapshots, which never change: bytes, rows of small ones, and relations of those.
+        self.sizes, self.held, self.relations = {}, OrderedDict(), OrderedDict()
         self.reload()
 
     @classmethod
@@ -221,7 +227,23 @@ class Store:
         return name, self.part_path(name)
 
     def part_path(self, name: str) -> str:
-        return (self.folder / "data" / name).as_uri()
+        return self.part_folder(name).as_uri()
+
+    def part_folder(self, name: str) -> Path:
+        return self.folder / "data" / name
+
+    def part_bytes(self, name: str) -> int:
+        return sum(f.stat().st_size for f in os.scandir(self.part_folder(name)) if f.name.endswith(".parquet"))
+
+    def write_part(self, rows: pa.Table) -> str:
+        """A statement's own rows as a snapshot of one file, on the disk."""
+        name, _ = self.new_part()
+        self.part_folder(name).mkdir()
+        with open(self.part_folder(name) / "part-0.parquet", "wb") as f:
+            pq.write_table(rows, f)
+            f.flush()
+            os.fsync(f.fileno())
+        return name
 
     # branches
 
