@@ -109,35 +109,35 @@ error: default for column 'b': a float value does not fit into a column of type
 
 def test_types_and_order(spark):
     play(Database.in_memory(spark), """
-> table t { id: int @key, f: float @null, b: bool @null, x: bytes @null, s: text @null }
+> table sample { no: int @key, weight: float @null, fresh: bool @null, code: bytes @null, label: text @null }
 ok
-> put t { id: 1, f: 1, b: true, x: x"00ff", s: "é" }, { id: 2, f: -0.0 }, { id: 3, f: 0.0 }, { id: 4, f: 1e20, x: x"ff", s: "z" }, { id: 5, f: 2e-7, b: false, s: "a" }, { id: 6 }
+> put sample { no: 1, weight: 1, fresh: true, code: x"00ff", label: "é" }, { no: 2, weight: -0.0 }, { no: 3, weight: 0.0 }, { no: 4, weight: 1e20, code: x"ff", label: "z" }, { no: 5, weight: 2e-7, fresh: false, label: "a" }, { no: 6 }
 put 6
-> get t { id, f } order by f
+> get sample { no, weight } order by weight
 6|null
 2|-0.0
 3|0.0
 5|2e-7
 1|1.0
 4|1e20
-> get t { id } order by f desc limit 2
+> get sample { no } order by weight desc limit 2
 4
 1
-> get t { id, x } where x >= x"00ff" order by x
+> get sample { no, code } where code >= x"00ff" order by code
 1|x"00ff"
 4|x"ff"
-> get t { id, s } where s > "a" order by s
+> get sample { no, label } where label > "a" order by label
 4|z
 1|é
-> get t { id } where f = 0.0
+> get sample { no } where weight = 0.0
 3
-> get t { id } where b != true
+> get sample { no } where fresh != true
 2
 3
 4
 5
 6
-> get t { id } where not b
+> get sample { no } where not fresh
 5
 """)
 
@@ -193,52 +193,52 @@ NestedLoopJoin inner on (person.town < town.id)
 
 def test_history(spark):
     play(Database.in_memory(spark), """
-> table t { id: int @key, v: int = 0 }
+> table shelf { slot: int @key, boxes: int = 7 }
 ok
-> put t { id: 1 }
+> put shelf { slot: 41 }
 put 1
-> branch side
+> branch audit
 ok
-> switch side
-switched to side
-> put t { id: 2 }
+> switch audit
+switched to audit
+> put shelf { slot: 42 }
 put 1
 > switch main
 switched to main
-> get t
-1|0
-> merge side
-merged side, head is now commit 5
-> get t
-1|0
-2|0
-> get t as of 2
-1|0
-> get t as of 0
-error: no table named 't'
-> get t as of 99
+> get shelf
+41|7
+> merge audit
+merged audit, head is now commit 5
+> get shelf
+41|7
+42|7
+> get shelf as of 2
+41|7
+> get shelf as of 0
+error: no table named 'shelf'
+> get shelf as of 99
 error: storage error: invalid argument: no such commit id (it may have been garbage collected)
 > merge nobody
 error: storage error: invalid argument: no branch with this name
 > merge main
 error: storage error: invalid argument: cannot merge a branch into itself
-> branch side
+> branch audit
 error: storage error: invalid argument: a branch with this name already exists
 > branch _x
 error: storage error: invalid argument: branch names are 1 to 64 ascii letters, digits, '_' or '-', starting alphanumeric
 > drop branch main
 error: storage error: invalid argument: cannot drop the current branch
-> put t { id: 3 }
+> put shelf { slot: 43 }
 put 1
-> switch side
-switched to side
-> put t { id: 4 }
+> switch audit
+switched to audit
+> put shelf { slot: 44 }
 put 1
 > switch main
 switched to main
-> merge side
+> merge audit
 error: storage error: invalid argument: branches have diverged; only fast-forward merges are supported for now
-> drop branch side
+> drop branch audit
 ok
 > show branches
 * main @8
@@ -252,16 +252,16 @@ gc pruned 2 commits...
 > log
 commit 8 parent 5
 commit 5 parent 2
-> get t as of 1
+> get shelf as of 1
 error: storage error: invalid argument: no such commit id (it may have been garbage collected)
-> get t as of time 1
+> get shelf as of time 1
 error: storage error: invalid argument: no commit that old is retained on this branch (raise the gc retention)
 > gc keep 0
 error: storage error: invalid argument: gc must retain at least one commit per branch
-> get t
-1|0
-2|0
-3|0
+> get shelf
+41|7
+42|7
+43|7
 """)
 
 
