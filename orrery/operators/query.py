@@ -108,15 +108,20 @@ def lookup(spark: SparkSession, table: Table, read: Callable[[Table], DataFrame]
         raise PlanError(f"table '{table.name}' has no column '{column}'")
     by = list(table.keys) if column is None else [table.column(column)]
     kinds = [SPARK[c.type] for c in by]
+    df = read(table)
     if isinstance(values, list):
         rows = [v if isinstance(v, tuple) else (v,) for v in values]
+        first = [r[0] for r in rows if r[0] is not None and r[0] == r[0]]
+        if first:  # bounds by which a scan skips row groups
+            least, most = (F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(kinds[0]) for v in (min(first), max(first)))
+            df = df.where(F.col(by[0].name).between(least, most))
         values = spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r) for r in rows], ", ".join(f"v{i} {k}" for i, k in enumerate(kinds)))
     wanted = values.toDF(*[f"v{i}" for i in range(len(by))]).distinct().select(*[F.col(f"v{i}").cast(k).alias(f"v{i}") for i, k in enumerate(kinds)])
     on = F.lit(True)
     for i, c in enumerate(by):
         x, y = F.col(f"t.{c.name}"), F.col(f"w.v{i}")
         on = on & (float_equal(x, y, False) if c.type == "float" else x == y)
-    return read(table).alias("t").join(wanted.alias("w"), on, "left_semi").select(*[F.col(f"t.{c.name}") for c in table.columns])
+    return df.alias("t").join(wanted.alias("w"), on, "left_semi").select(*[F.col(f"t.{c.name}") for c in table.columns])
 
 
 def key_range(table: Table, read: Callable[[Table], DataFrame], start: tuple | None, end: tuple | None) -> DataFrame:

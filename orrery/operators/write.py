@@ -67,12 +67,25 @@ def read(spark: SparkSession, store: Store, table: Table, fresh: bool = False) -
     return spark.read.schema(schema(table)).parquet(*[store.part_path(p) for p in table.parts])
 
 
-def _write(df: DataFrame, store: Store) -> str:
+def _write(df: DataFrame, store: Store, table: Table) -> str:
+    """A snapshot.  Row groups have Bloom filters of the key and of every indexed column, by which
+    a scan for one value skips those that don't hold it: that is what an index is here."""
     name, path = store.new_part()
-    df.write.parquet(path)
+    writer = df.write.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in table.columns:
+        if (c.key or c.index) and c.type in ("int", "text", "bytes"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c.name}", "true")
+    writer.parquet(path)
     return name
 
 
+def indexed(spark: SparkSession, store: Store, table: Table) -> Table:
+    """The table with snapshots that were written with its present indexes."""
+    if not table.parts or small(store, table) is not None:
+        return table
+    return Table(table.name, table.columns, (_write(read(spark, store, table), store, table),))
+
+
 def _duplicate(key: tuple, table: Table) -> ExecError:
     return ExecError(f"duplicate key ({', '.join(map(pretty.value, key))}) in table '{table.name}'")
 
@@ -155,7 +168,7 @@ def upsert_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame)
         same = F.lit(True)
         for i, x in enumerate(own):
             same = same & (x == F.col(f"`new {i}`"))
-        parts = (_write(old.join(new, same, "left_anti"), store), part)
+        parts = (_write(old.join(new, same, "left_anti"), store, table), part)
     return Table(table.name, table.columns, parts), fresh.count()
 
 
@@ -180,7 +193,7 @@ def _staged(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> t
         columns.append(column.alias(c.name))
     keys = [c.name for c in table.keys]
     # in the order of the keys within each file, so that a lookup skips row groups
-    part = _write(df.select(*columns).sortWithinPartitions(*keys), store)
+    part = _write(df.select(*columns).sortWithinPartitions(*keys), store, table)
     added = Table(table.name, table.columns, (part,))
     fresh = read(spark, store, added)
     twice = fresh.groupBy(*identity(table.keys)).count().where("count > 1").select(*keys)
@@ -211,7 +224,7 @@ def set_rows(spark: SparkSession, store: Store, table: Table, s: Set) -> tuple[T
         old = F.col(inner(table, c.name))
         new = fit(lowering.value(assign[c.name]), c.type, c.nullable, c.name) if c.name in assign else old
         columns.append((F.when(F.col("_hit"), new).otherwise(old) if c.name in assign else old).alias(c.name))
-    return Table(table.name, table.columns, (_write(df.select(*columns), store),)), n
+    return Table(table.name, table.columns, (_write(df.select(*columns), store, table),)), n
 
 
 def del_rows(spark: SparkSession, store: Store, table: Table, d: Del) -> tuple[Table, int]:
@@ -221,7 +234,7 @@ def del_rows(spark: SparkSession, store: Store, table: Table, d: Del) -> tuple[T
     if not n:
         return table, 0
     left = df.where(~F.col("_hit")).select(*[F.col(inner(table, c.name)).alias(c.name) for c in table.columns])
-    return Table(table.name, table.columns, (_write(left, store),)), n
+    return Table(table.name, table.columns, (_write(left, store, table),)), n
 
 
 def _matched(spark: SparkSession, store: Store, table: Table, scope: Scope, where) -> tuple[DataFrame, int]:

@@ -187,7 +187,7 @@ class Session:
             if c.index:
                 raise PlanError(f"'{s.table}.{s.column}' is already indexed")
             columns = tuple(replace(x, index=True) if x is c else x for x in table.columns)
-            return tables | {s.table: replace(table, columns=columns)}, Outcome()
+            return tables | {s.table: write.indexed(self.spark, self.store, replace(table, columns=columns))}, Outcome()
         verb, apply = {Put: ("put", write.put_rows), Set: ("set", write.set_rows), Del: ("del", write.del_rows)}[type(s)]
         changed, n = apply(self.spark, self.store, table, s)
         return tables | {s.table: changed}, Outcome(verb, n)

@@ -474,3 +474,33 @@ def test_times_compare_as_the_text_they_are_shown_as(spark, op, tmp_path):
         by = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq}[op]
         want = [i for i, t in sorted(shown.items()) if t is not None and by(t, text)]
         assert [r[0] for r in s.execute(f'get t {{ id }} where ts {op} "{text}"').collect()] == want, text
+
+
+def test_an_index_skips_what_a_value_is_not_in(spark):
+    """Scans for absent values between the least and the greatest read no row."""
+    db = Database.in_memory(spark)
+    db.execute("table big { id: int @key, name: text @index, pad: text, late: text }")
+    rows = spark.range(0, 200_000, 2).selectExpr("id", "concat('n', id) name", "sha2(cast(id as string), 256) pad", "concat('l', id) late")
+    assert db.insert_all("big", rows) == 100_000
+
+    def read_rows(text):
+        df = db.execute(text).rows()
+        assert df.collect() == []
+        plan, found = df._jdf.queryExecution().executedPlan(), []
+
+        def walk(p):
+            if p.nodeName().startswith("Scan parquet"):
+                found.append(p.metrics().apply("numOutputRows").value())
+            children = p.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+        walk(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+        return sum(found)
+
+    assert read_rows("get big where id = 50001") == 0 and read_rows('get big where name = "n50001"') == 0
+    assert read_rows('get big where late = "l50001"') > 0
+    db.execute("index big.late")
+    assert read_rows('get big where late = "l50001"') == 0
+    assert db.execute('get big { id } where late = "l50002"').collect() == [(50002,)]
+    assert sorted(r.id for r in db.lookup("big", [4, 50001, 199_998, 10**9]).collect()) == [4, 199_998]
