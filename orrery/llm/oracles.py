@@ -49,5 +49,50 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM kept
+""",
+    "op1_line_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), each AS (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM texts
+), counted AS (
+  SELECT doc_id, i, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS w FROM each
+), summed AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM counted
+), windows AS (  -- of lines that just reach 50 words, from the first forwards or from the last backwards
+  SELECT a.doc_id, a.i, b.i AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.w >= 50 AND b.s - b.w - a.s + a.w < 50
+  UNION
+  SELECT a.doc_id, a.i, b.i FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.w >= 50 AND b.s - a.s < 50
+), later AS (
+  SELECT doc_id, i, j FROM (
+    SELECT w.doc_id, w.i, w.j, row_number() OVER (PARTITION BY array_to_string(t.lines[w.i:w.j], chr(10)) ORDER BY w.doc_id, w.i) AS n
+    FROM windows w JOIN texts t ON w.doc_id = t.doc_id
+  ) WHERE n > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, j + 1)) AS k FROM later) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(len(t.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.ks), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN g.ks IS NULL THEN t.text ELSE coalesce(array_to_string(list_filter(t.lines, lambda x, k: NOT list_contains(g.ks, k)), chr(10)), '') END) AS text_sha256
+FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id
+""",
+    "op10_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(5, len(w)) AS n
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), own AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)
+), held AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)
+), totals AS (
+  SELECT item_id, count(*) AS total FROM own GROUP BY item_id
+)
+SELECT h.doc_id, o.item_id, CAST(count(*) AS DOUBLE) / any_value(t.total) AS containment
+FROM held h JOIN own o ON h.n = o.n AND h.gram = o.gram JOIN totals t ON o.item_id = t.item_id
+GROUP BY h.doc_id, o.item_id
+HAVING CAST(count(*) AS DOUBLE) / any_value(t.total) >= 0.8::DOUBLE
 """,
 }
