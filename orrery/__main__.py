@@ -1,14 +1,20 @@
-"""python -m orrery create|import|run|shell|tables|branches|branch|switch|merge|log|gc|verify|stats|about FOLDER ..."""
+"""python -m orrery create|import|run|shell|tables|branches|branch|switch|merge|log|gc|verify|stats|about|serve|token FOLDER ...
+
+and python -m orrery connect HOST:PORT"""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from .errors import EngineError
+from .plans import pretty
+from .server import Client, Server
 from .session import Database
+from .tokens import Tokens
 
 
 def spark_session() -> SparkSession:
@@ -30,14 +36,34 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
             p.add_argument("--keep", type=int, default=1)
         if verb == "branch":
             p.add_argument("--at", type=int)
+    p = verbs.add_parser("serve")
+    p.add_argument("folder")
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=7400)
+    p = verbs.add_parser("token")
+    p.add_argument("folder")
+    p.add_argument("action", choices=("add", "revoke", "list"))
+    p.add_argument("name", nargs="?", default="")
+    p = verbs.add_parser("connect")
+    p.add_argument("address")
+    p.add_argument("--token", default=os.environ.get("ORRERY_TOKEN", ""))
+    p.add_argument("--sql", action="store_true")
     p = verbs.add_parser("import")
     p.add_argument("source")
     p.add_argument("folder")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     a = parser.parse_args(args)
-    spark = spark or spark_session()
     try:
+        if a.verb == "token":
+            return _token(a, out)
+        if a.verb == "connect":
+            return _connect(a, lines, out)
+        spark = spark or spark_session()
+        if a.verb == "serve":
+            with Server(spark, a.folder, a.host, a.port) as server:
+                out(f"serving {a.folder} at {server.server_address[0]}:{server.server_address[1]}")
+                server.serve_forever()
         if a.verb == "create":
             Database.create(spark, a.folder)
             return 0
@@ -83,5 +109,34 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
         return 1
 
 
+def _token(a, out) -> int:
+    tokens = Tokens(a.folder)
+    if a.action == "add":
+        out(tokens.add(a.name))
+    elif a.action == "revoke":
+        tokens.revoke(a.name)
+    else:
+        for name in tokens.names():
+            out(name)
+    return 0
+
+
+def _connect(a, lines, out) -> int:
+    """A shell over a connection."""
+    host, _, port = a.address.rpartition(":")
+    client, failed = Client(host, int(port), a.token), 0
+    for line in sys.stdin if lines is None else lines:
+        if not (line := line.strip()) or line.startswith("#"):
+            continue
+        try:
+            for r in client.execute(line, "sql" if a.sql else "native"):
+                out(r if isinstance(r, str) else "|".join(v if isinstance(v, str) else pretty.value(v) for v in r))
+        except EngineError as e:
+            failed += 1
+            out(f"error: {e}")
+    client.close()
+    return int(failed > 0)
+
+
 if __name__ == "__main__":
     sys.exit(main())
