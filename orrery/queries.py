@@ -292,7 +292,7 @@ def _sqlite_file(folder: str, tables) -> str:
     con = sqlite3.connect(path)
     con.execute('CREATE TABLE "supplier list" (id INTEGER PRIMARY KEY, name TEXT NOT NULL, nation INT, balance NUMERIC, note, "9th" BLOB DEFAULT NULL)')
     con.execute("CREATE INDEX by_nation ON \"supplier list\" (nation)")
-    rows = [(r[0], r[1], r[2], r[3], r[0] if r[0] % 2 else f"n{r[0]}", bytes([r[0] % 256])) for r in tables("supplier").collect()]
+    rows = [(r[0], r[1], r[2], r[3], r[0] if r[0] % 2 else f"n{r[0]}", bytes([r[0] % 256])) for r in tables("supplier").toLocalIterator()]
     con.executemany('INSERT INTO "supplier list" VALUES (?, ?, ?, ?, ?, ?)', rows)
     con.commit()
     con.close()
