@@ -38,7 +38,7 @@ from .vectors import _LOWER, Table, word_hashes
 
 DEPTH = 5
 #: Bytes of a chunk of documents as the table holds them, more or less.
-CHUNK = 48 << 20
+CHUNK = 32 << 20
 #: Buckets that chunks are dealt to, at most; a task reads a bucket, one chunk after the other.
 BUCKETS = 8192
 #: Keys after which a task merges what it has counted.
@@ -312,7 +312,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # a table whose size Spark can't tell has a chunk for each partition of a shuffle
-    chunks = max(2 * spark.sparkContext.defaultParallelism, ceil(size / chunk) if size < 1 << 55 else parts)
+    chunks = max(spark.sparkContext.defaultParallelism, ceil(size / chunk) if size < 1 << 55 else parts)
     rows = pick(docs, doc_id="long", text="string")
     # a chunk is what some of the tasks read; writing the documents with it fixes it
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.pmod(F.spark_partition_id(), F.lit(chunks)).cast("int").alias("number"))
