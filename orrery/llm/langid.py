@@ -31,8 +31,9 @@ from .vectors import Table
 MAX_N = 3
 #: Bounds of the learning sample: rows of each language, rows in all.
 PER_LANGUAGE, SAMPLE = 300, 10_000
-#: Landmarks: so many, or so many of each language if that is more.
-LANDMARKS, OF_EACH = 256, 6
+#: Landmarks: so many, or so many of each language if that is more, but not over ``MOST`` unless
+#: there are more languages than that, each of which has one.
+LANDMARKS, OF_EACH, MOST = 256, 6, 2048
 RIDGE = 1e-2
 UNKNOWN = "und"
 PIECE = 1 << 20
@@ -186,7 +187,7 @@ def fit(languages: list[str], ranks: list[int], ngrams: list[np.ndarray], letter
     index[known] = np.arange(2, len(known) + 2)
     symbols = np.where(letters > 0, index[letters & letter], 0).astype(np.uint32)
 
-    count = max(LANDMARKS, OF_EACH * len(names))
+    count = max(LANDMARKS, min(OF_EACH * len(names), MOST), len(names))
     chosen = sorted(sorted(range(len(languages)), key=lambda i: (ranks[i], languages[i]))[:count])
     features = np.unique(np.concatenate([ngrams[i] for i in chosen]))
     rows = []
