@@ -162,26 +162,29 @@ def plan(spark: SparkSession, path: str, strict: bool = False) -> list[TablePlan
                 if unique and origin in ("c", "u"):
                     notes.append(f"unique constraint '{index}' is not carried over")
             text = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\[[^\]]*\]|`[^`]*`|--[^\n]*|/\*.*?\*/", "''", con.execute("SELECT sql FROM sqlite_master WHERE name = ? AND type = 'table'", (table,)).fetchone()[0], flags=re.S)
-            if re.search(r"\bCHECK\s*\(", text, re.I):
-                notes.append("check constraints are not carried over")
-            if re.search(r"\bCOLLATE\b", text, re.I):
-                notes.append("collations are not carried over; texts are compared byte by byte")
+            if n := len(re.findall(r"\bCHECK\s*\(", text, re.I)):
+                notes.append(f"{n} check constraint{'s are' if n > 1 else ' is'} not carried over; rows that would fail can be written")
+            for name in sorted({x.upper() for x in re.findall(r"\bCOLLATE\s+(\w+)", text, re.I)} - {"BINARY"}):
+                notes.append(f"collation {name} is not carried over; texts are compared byte by byte")
             if con.execute(f"PRAGMA foreign_key_list({quoted(table)})").fetchone():
                 notes.append("foreign keys are not carried over")
         stored = [r for r in declared if r[5] != 2]
         notes += [f"column '{r[0]}' is computed and not carried over" for r in declared if r[5] == 2]
         keys = [alias] if alias else [r[0] for r in sorted((r for r in stored if r[4]), key=lambda r: r[4])]
-        if not alias and any(counts.get(k, Counts()).nulls for k in keys):
-            keys = []
+        why = "no key is declared"
+        if not alias and (empty := [k for k in keys if counts.get(k, Counts()).nulls]):
+            keys, why = [], f"its key column '{empty[0]}' holds nulls"
+        elif not alias and (computed := [r[0] for r in declared if r[4] and r[5] == 2]):
+            keys, why = [], f"its key column '{computed[0]}' is computed"
         add_rowid = not keys
         if add_rowid and no_rowid:
-            problems.append("its key can't be carried over and it has no rowid")
+            problems.append(f"{why}, and it has no rowid")
         names = names_for((["rowid"] if add_rowid else []) + [r[0] for r in stored])
         columns, reads = [], []
         if add_rowid:
             columns.append(Column(names[0], "int", key=True))
             reads.append(("rowid", "int"))
-            notes.append("a rowid key is added")
+            notes.append(f"a rowid key is added: {why}")
         for r, column in zip(stored, names[len(columns) :], strict=True):
             c = counts.get(r[0], Counts())
             kind, more, bad = decide(c, affinity(r[1]), strict)
