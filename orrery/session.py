@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, is_dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +15,7 @@ from .functions.lower import identity
 from .operators import query, write
 from .plans import native, pretty, sql
 from .plans.access import explain
-from .plans.ast import CreateIndex, CreateTable, Del, DropTable, Explain, Get, Put, Set, Simple, Statement
+from .plans.ast import CreateIndex, CreateTable, Del, DropTable, Explain, Get, Literal, Put, Set, Simple, Statement
 from .shared import mounted
 from .store import LOST, Store, Table, check_table
 
@@ -351,6 +351,15 @@ class Database:
             raise
         self.execute("commit")
 
+    def insert(self, table: str, row) -> int:
+        """Put one row, a dict or an object of a dataclass."""
+        values = asdict(row) if is_dataclass(row) else dict(row)
+        return self.session.run(Put(table, (tuple((n, Literal(v)) for n, v in values.items()),))).count
+
+    @property
+    def in_transaction(self) -> bool:
+        return self.session.in_transaction
+
     def head(self) -> int:
         return self.session.store.head
 

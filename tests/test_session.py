@@ -343,6 +343,10 @@ def test_embedded_interface(spark):
     db.execute("table t { id: int @key, name: text }")
     assert db.insert_all("t", spark.createDataFrame([(2, "b"), (1, "a")], "id long, name string")) == 2
     assert db.query_as(Row, "get t") == [Row(1, "a"), Row(2, "b")]
+    assert db.insert("t", Row(8, "x")) == 1 and db.insert("t", {"name": 'quo"te', "id": 9}) == 1 and not db.in_transaction
+    with pytest.raises(ExecError, match=r"duplicate key \(8\)"):
+        db.insert("t", Row(8, "y"))
+    assert db.execute("get t where id > 2").collect() == [(8, "x"), (9, 'quo"te')] and db.execute("del t where id > 2").count == 2
     for bad, message in (([(3, "c"), (3, "d")], r"duplicate key \(3\)"), ([(1, "c")], r"duplicate key \(1\)"), ([(4, None)], "null in a column")):
         with pytest.raises(ExecError, match=message):
             db.insert_all("t", spark.createDataFrame(bad, "id long, name string"))
