@@ -159,16 +159,17 @@ def put_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) ->
 
 
 def upsert_frame(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> tuple[Table, int]:
-    """All rows of a DataFrame, in the place of those of the same keys."""
+    """All rows of a DataFrame, in the place of those of the same keys; files without one stay."""
     part, fresh = _staged(spark, store, table, df)
     parts = (part,)
     if table.parts:
-        own, old = identity(table.keys), read(spark, store, table)
+        own = identity(table.keys)
         new = fresh.select(*own).toDF(*[f"new {i}" for i in range(len(own))])
         same = F.lit(True)
         for i, x in enumerate(own):
             same = same & (x == F.col(f"`new {i}`"))
-        parts = (_write(old.join(new, same, "left_anti"), store, table), part)
+        kept, old, n = _files(spark, store, table, lambda rows: rows.join(new, same, "left_semi"), lambda c: c)
+        parts = (*kept, _write(old.join(new, same, "left_anti"), store, table), part) if n else (*table.parts, part)
     return Table(table.name, table.columns, parts), fresh.count()
 
 
@@ -203,7 +204,7 @@ def _staged(spark: SparkSession, store: Store, table: Table, df: DataFrame) -> t
 
 
 def set_rows(spark: SparkSession, store: Store, table: Table, s: Set) -> tuple[Table, int]:
-    """Every assignment reads the old row; rows that don't match are carried over as they are."""
+    """Every assignment reads the old row; other rows of the same files are carried over as they are."""
     scope = Scope([table], set())
     check(scope, s.where)
     assign = {}
@@ -215,7 +216,7 @@ def set_rows(spark: SparkSession, store: Store, table: Table, s: Set) -> tuple[T
             raise PlanError(f"cannot set key column '{name}' (comes with row moves in phase 3)")
         check(scope, e)
         assign[name] = e
-    df, n = _matched(spark, store, table, scope, s.where)
+    kept, df, n = _matched(spark, store, table, scope, s.where)
     if not n:
         return table, 0
     lowering = Lowering(scope.lowered)
@@ -224,26 +225,45 @@ def set_rows(spark: SparkSession, store: Store, table: Table, s: Set) -> tuple[T
         old = F.col(inner(table, c.name))
         new = fit(lowering.value(assign[c.name]), c.type, c.nullable, c.name) if c.name in assign else old
         columns.append((F.when(F.col("_hit"), new).otherwise(old) if c.name in assign else old).alias(c.name))
-    return Table(table.name, table.columns, (_write(df.select(*columns), store, table),)), n
+    return Table(table.name, table.columns, (*kept, _write(df.select(*columns), store, table))), n
 
 
 def del_rows(spark: SparkSession, store: Store, table: Table, d: Del) -> tuple[Table, int]:
     scope = Scope([table], set())
     check(scope, d.where)
-    df, n = _matched(spark, store, table, scope, d.where)
+    kept, df, n = _matched(spark, store, table, scope, d.where)
     if not n:
         return table, 0
     left = df.where(~F.col("_hit")).select(*[F.col(inner(table, c.name)).alias(c.name) for c in table.columns])
-    return Table(table.name, table.columns, (_write(left, store, table),)), n
+    return Table(table.name, table.columns, (*kept, _write(left, store, table))), n
 
 
-def _matched(spark: SparkSession, store: Store, table: Table, scope: Scope, where) -> tuple[DataFrame, int]:
-    """The table's rows with _hit, and how many are hit."""
-    df = read(spark, store, table).select(*[F.col(c.name).alias(inner(table, c.name)) for c in table.columns])
-    n = filtered(df, scope, table, where).count()
+def _files(spark: SparkSession, store: Store, table: Table, matching, name) -> tuple[tuple[str, ...], DataFrame, int]:
+    """The snapshots and files that hold no row of ``matching``, the rows of the others, and how
+    many match.  Columns are named by ``name``.  Filters, statistics and Bloom filters keep the
+    search to the row groups that may hold one."""
+    renamed = lambda df, *more: df.select(*[F.col(c.name).alias(name(c.name)) for c in table.columns], *more)
+    if not table.parts or small(store, table) is not None:
+        rows = renamed(read(spark, store, table))
+        return (), rows, matching(rows).count()
+    files = lambda parts: spark.read.schema(schema(table)).parquet(*map(store.part_path, parts))
+    found = matching(renamed(files(table.parts), F.col("_metadata.file_path").alias("_file"))).groupBy("_file").agg(F.count("*").alias("n")).collect()
+    touched, kept = {store.part_of(r["_file"]) for r in found}, []
+    for part in table.parts:
+        own = store.part_files(part)
+        rest = [f for f in own if f not in touched]
+        kept += [part] if len(rest) == len(own) else rest
+    return tuple(kept), renamed(files(sorted(touched))) if touched else None, sum(r["n"] for r in found)
+
+
+def _matched(spark: SparkSession, store: Store, table: Table, scope: Scope, where) -> tuple[tuple[str, ...], DataFrame, int]:
+    """What holds no row that is hit, the rows of the rest with _hit, and how many are hit."""
+    kept, df, n = _files(spark, store, table, lambda rows: filtered(rows, scope, table, where), lambda c: inner(table, c))
+    if not n:
+        return kept, df, 0
     path, lowering, hit = access(table, where), Lowering(scope.lowered), F.lit(True)
     for column, v in path.values:
         hit = hit & F.coalesce(held_to(F.col(inner(table, column)), table.column(column).type, v), F.lit(False))
     if path.rest is not None:
         hit = F.when(hit, F.coalesce(lowering.truth(path.rest).column, F.lit(False))).otherwise(F.lit(False))
-    return df.withColumn("_hit", hit), n
+    return kept, df.withColumn("_hit", hit), n

@@ -24,6 +24,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -52,7 +53,7 @@ def _of_json(d: dict) -> Column:
 
 @dataclass(frozen=True)
 class Table:
-    """A table's columns and the snapshot folders that hold its rows."""
+    """A table's columns and the snapshots that hold its rows: folders, or files ``folder/file``."""
 
     name: str
     columns: tuple[Column, ...]
@@ -232,8 +233,16 @@ class Store:
     def part_folder(self, name: str) -> Path:
         return self.folder / "data" / name
 
+    def part_files(self, name: str) -> list[str]:
+        """The files of a snapshot, each as a snapshot."""
+        return [name] if "/" in name else sorted(f"{name}/{f.name}" for f in os.scandir(self.part_folder(name)) if f.name.endswith(".parquet"))
+
+    def part_of(self, uri: str) -> str:
+        """The snapshot that a file is, by its URI."""
+        return str(Path(unquote(urlparse(uri).path)).relative_to(self.folder / "data"))
+
     def part_bytes(self, name: str) -> int:
-        return sum(f.stat().st_size for f in os.scandir(self.part_folder(name)) if f.name.endswith(".parquet"))
+        return sum(self.part_folder(f).stat().st_size for f in self.part_files(name))
 
     def write_part(self, rows: pa.Table) -> str:
         """A statement's own rows as a snapshot of one file, on the disk."""
@@ -344,20 +353,25 @@ class Store:
                 path.unlink(missing_ok=True)
             elif id in gone:  # the number stays taken for writers that saw an older state
                 _replace(path, {"commit": None})
+        in_use, were = {p.split("/")[0] for p in live}, {p.split("/")[0] for p in dead}
         for path in (self.folder / "data").iterdir():
-            if path.name in dead or path.name not in live and now - path.stat().st_mtime > ABANDONED_S:
+            if path.name not in in_use and (path.name in were or now - path.stat().st_mtime > ABANDONED_S):
                 freed += sum(len(files) for _, _, files in os.walk(path))
                 shutil.rmtree(path, ignore_errors=True)
+            elif path.name in were and path.name not in live:  # some of its files are in use
+                for name in set(self.part_files(path.name)) - live:
+                    self.part_folder(name).unlink(missing_ok=True)
+                    freed += 1
         return pruned, freed
 
     def stats(self) -> dict[str, int]:
         """Numbers and bytes of files: of all rows, of those that the current head names, and
         of those that no retained commit names."""
-        sizes = {p.name: [f.stat().st_size for f in p.rglob("*") if f.is_file()] for p in (self.folder / "data").iterdir()}
+        sizes = {f: self.part_folder(f).stat().st_size for p in (self.folder / "data").iterdir() for f in self.part_files(p.name)}
         commits = {c.id: c for ref in self.meta["refs"].values() for c in self._from(ref)}
-        parts = lambda cs: {p for c in cs for t in c.tables.values() for p in t.parts}
-        head, live = parts([self.commit(self.head)]), parts(commits.values())
+        files = lambda cs: {f for p in {p for c in cs for t in c.tables.values() for p in t.parts} for f in self.part_files(p)}
+        head, live = files([self.commit(self.head)]), files(commits.values())
         out = {"commits": len(commits), "branches": len(self.meta["refs"])}
         for name, chosen in (("all", set(sizes)), ("head", head), ("free", set(sizes) - live)):
-            out |= {f"{name}_files": sum(len(sizes.get(p, ())) for p in chosen), f"{name}_bytes": sum(sum(sizes.get(p, ())) for p in chosen)}
+            out |= {f"{name}_files": len(chosen), f"{name}_bytes": sum(sizes[f] for f in chosen)}
         return out

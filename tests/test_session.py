@@ -508,3 +508,29 @@ def test_an_index_skips_what_a_value_is_not_in(spark):
     assert read_rows('get big where late = "l50001"') == 0
     assert db.execute('get big { id } where late = "l50002"').collect() == [(50002,)]
     assert sorted(r.id for r in db.lookup("big", [4, 50001, 199_998, 10**9]).collect()) == [4, 199_998]
+
+
+def test_writes_touch_only_the_files_that_hold_their_rows(spark):
+    """Against a model, on a table of several files; the others stay as they are, gc keeps them."""
+    db = Database.in_memory(spark)
+    db.execute("table big { id: int @key, v: int, pad: text }")
+    rows = spark.range(0, 60_000).repartition(6).selectExpr("id", "id % 100 v", "sha2(cast(id as string), 512) pad")
+    db.insert_all("big", rows)
+    model = {i: i % 100 for i in range(60_000)}
+    files = lambda: {f for p in db.session.tables()["big"].parts for f in db.session.store.part_files(p)}
+    before = files()
+    assert len(before) == 6 and db.execute("del big where id = 41").count == 1
+    after = files()
+    assert len(before & after) == 5 and len(after) == 6
+    assert db.execute("set big where id = 42 { v = 1000 }").count == 1 and len(before & files()) >= 4
+    new = spark.createDataFrame([(43, 7, "x"), (70_000, 8, "y")], "id long, v long, pad string")
+    assert db.upsert_all("big", new) == 2 and len(before & files()) >= 3
+    assert db.execute("del big where id = 99999").count == 0
+    del model[41]
+    model |= {42: 1000, 43: 7, 70_000: 8}
+    db.execute("gc keep 1")
+    got = {r[0]: r[1] for r in db.execute("get big { id, v }").rows().collect()}
+    assert got == model and db.verify() == []
+    stats = db.stats()
+    assert stats["all_files"] == stats["head_files"] == len(files()) and stats["free_files"] == 0
+    assert db.execute("set big where v = 3 { v = 4 }").count == 600 and len(db.execute("get big where v = 4").collect()) == 1200
