@@ -23,7 +23,7 @@ def schema(table: Table) -> T.StructType:
 
 
 #: Bytes of files up to which a table's rows are held by the driver.
-SMALL = 1 << 20
+SMALL = 2 << 20
 ARROW = {"int": pa.int64(), "float": pa.float64(), "text": pa.string(), "bytes": pa.binary(), "bool": pa.bool_()}
 
 
@@ -40,14 +40,15 @@ def small(store: Store, table: Table) -> pa.Table | None:
     for part in table.parts:
         if part not in store.held:
             store.held[part] = pq.read_table(store.part_folder(part))
-            while len(store.held) > HELD:
+            while len(store.held) > 1 and sum(t.nbytes for t in store.held.values()) > HELD:
                 store.held.popitem(last=False)
+        store.held.move_to_end(part)
         rows.append(store.held[part].select(kinds.names).cast(kinds))
     return pa.concat_tables(rows) if rows else kinds.empty_table()
 
 
-#: Snapshots and relations that are held at most.
-HELD = 256
+#: Bytes of small snapshots that are held, and relations of small tables.
+HELD, RELATIONS = 64 << 20, 32
 
 
 def read(spark: SparkSession, store: Store, table: Table, fresh: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ def read(spark: SparkSession, store: Store, table: Table, fresh: bool = False) -
             return store.relations[key]
         if (rows := small(store, table)) is not None:
             found = store.relations[key] = spark.createDataFrame(rows, schema(table))
-            while len(store.relations) > HELD:
+            while len(store.relations) > RELATIONS:
                 store.relations.popitem(last=False)
             return found
     return spark.read.schema(schema(table)).parquet(*[store.part_path(p) for p in table.parts])
